@@ -4,8 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import pii, quality, toxicity
-from revlake.llm.common import table
+from revlake.llm import mixing, pii, quality, toxicity, warc
+from revlake.llm.common import Workspace, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Workspace(spark, "warc").keep(warc.pack(table(spark, sf_dir, "pages")), "archives")
+    return warc.read(archives, payloads=False).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
+    )
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +35,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_pii, op7_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_classifier, op5_pii, op6_mixing, op7_toxicity)}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
