@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _reach(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the repository is not installed (one path on every machine)."""
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers import this package when the repository is not installed (one path on every machine), in small batches."""
     root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, paths)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # texts can be long
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _reach(spark)
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,6 +11,8 @@ GEAR[65:91] = GEAR[97:123]
 #: Word separators: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Word separators where punctuation must not matter: every ASCII byte but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -39,10 +41,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~SPACE[raw]
+    inside[1:-1] = ~gap[raw]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     powers, inverse = _powers(n)
@@ -51,16 +53,16 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every whitespace-separated word."""
+def words(data: bytes, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word between the separators in gap."""
     if len(data) <= 2 * BLOCK:
-        return _words(np.frombuffer(data, np.uint8))
+        return _words(np.frombuffer(data, np.uint8), gap)
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
-        while end < len(data) and not SPACE[data[end]]:
+        while end < len(data) and not gap[data[end]]:
             end += 1
-        h, s, e = _words(np.frombuffer(data[at:end], np.uint8))
+        h, s, e = _words(np.frombuffer(data[at:end], np.uint8), gap)
         out.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

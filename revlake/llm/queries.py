@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import mixing, pii, quality, toxicity, warc
+from revlake.llm import decontamination, mixing, neardup, pii, quality, toxicity, warc
 from revlake.llm.common import Workspace, table
 
 
@@ -44,5 +44,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_classifier, op5_pii, op6_mixing, op7_toxicity)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_classifier, op5_pii, op6_mixing, op7_toxicity, op8_decontamination, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
