@@ -48,13 +48,9 @@ def classes(work: Workspace, members: DataFrame, verify: Callable[[DataFrame], D
     either verified or inside one component: no link between components is lost, whatever the size.
     verify takes pairs a < b and returns those that are links.
     """
-    members = members.distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = work.keep(members, "members")
-    shared = work.keep(shared, "shared")
-    left = work.keep(members.join(shared, "bucket"), "left-0")
-    for table in ("members", "shared"):
-        work.drop(table)
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    left = work.keep(members.join(work.keep(shared, "shared"), "bucket"), "left-0")
+    work.drop("shared")
     labels, step = None, 0
     while True:
         now = left if labels is None else left.drop("root").join(labels, "node", "left")

@@ -48,6 +48,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of the finished step
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

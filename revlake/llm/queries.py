@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlake.llm import decontamination, mixing, neardup, pii, quality, toxicity, warc
+from revlake.llm import decontamination, licenses, linededup, media, mixing, neardup, pii, quality, toxicity, warc
 from revlake.llm.common import Workspace, table
 
 
@@ -26,11 +26,19 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,27 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_classifier, op5_pii, op6_mixing, op7_toxicity, op8_decontamination, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_line_dedup,
+        op3_quality_classifier,
+        op4_media_chunks,
+        op5_pii,
+        op6_mixing,
+        op7_toxicity,
+        op8_decontamination,
+        op9_license_scan,
+        op10_near_duplicates,
+    )
+}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
