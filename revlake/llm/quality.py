@@ -126,20 +126,31 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return Model(mean, scale, w, prior)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, held_out, score and predicted (and the columns in keep) for every whole text.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted for every whole text.
 
     A null text scores as an empty one; a null doc_id is kept and counts as not held out; repeated
-    rows score alike; an empty table gives no rows; columns not in keep are ignored.
+    rows score alike; an empty table gives no rows; further columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * DIMS numbers
 
     def run(batches):
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(2)], np.float32).reshape(-1, DIMS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.score(x), pa.float64()), *batch.columns[3:]], ["doc_id", "held_out", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.score(x), pa.float64())], ["doc_id", "held_out", "score"])
 
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == FOLD, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string").alias("_text"), *keep)
-    schema = "doc_id bigint, held_out boolean, score double" + "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose whole text scores 0.5 or more."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(text)], np.float32).reshape(-1, DIMS)
+            yield batch.filter(pa.array(shared.value.score(x) >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
