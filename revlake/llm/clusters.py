@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revlake.llm.common import Workspace
 
-#: Members of a bucket that a round compares with all its others.
-LEADERS = 4
+#: Members of a bucket that the first round compares with all its others, and the factor from round to round.
+LEADERS, GROWTH = 4, 16
 
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -41,40 +42,39 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
 def classes(work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and root for the nodes that verified links join; nodes without links are left out.
 
-    members holds bucket and node. Only pairs that share a bucket are verified, and no bucket's pairs
-    are all listed: each round compares a bucket's LEADERS (its first members in a hashed order that is
-    the same in all buckets) with its other members of other components, then retires the leaders. A
-    bucket is done when its remaining members are in one component, so every pair of a bucket ends up
-    either verified or inside one component: no link between components is lost, whatever the size.
+    members holds bucket and node. Only pairs that share a bucket are verified, and a bucket's pairs are
+    not all listed: each round compares a bucket's leaders (its first members in a hashed order that is
+    the same in all buckets, found by a limit that works before the shuffle) with its other members of
+    other components, then retires them. A bucket is done when its remaining members are in one
+    component, so every pair of a bucket ends up either verified or inside one component: no link
+    between components is lost, whatever the size. A group of copies is done after the first round or
+    two; only members that are not similar need the later ones, whose leaders are GROWTH times as many.
     verify takes pairs a < b and returns those that are links.
     """
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    left = work.keep(members.join(work.keep(shared, "shared"), "bucket"), "left-0")
-    work.drop("shared")
-    labels, step = None, 0
+    left = work.keep(members.join(work.keep(shared, "shared"), "bucket").withColumn("root", F.col("node")), "left-0")
+    labels, step, leaders = None, 0, LEADERS
     while True:
-        now = left if labels is None else left.drop("root").join(labels, "node", "left")
-        root = F.col("node") if labels is None else F.coalesce("root", "node")
-        now = work.keep(now.select("bucket", "node", root.alias("root")), f"now-{step}")
-        first = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"n{i}") for i in range(LEADERS)]
-        lead = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *first).where("lo < hi")
-        lead = lead.select("bucket", F.array_distinct(F.array(*(f"n{i}" for i in range(LEADERS)))).alias("lead"))
-        lead = work.keep(lead, f"lead-{step}")
-        if lead.isEmpty():
-            break
-        open_ = now.join(lead, "bucket")
-        other = open_.select("node", "root", F.explode("lead").alias("leader")).where("node <> leader")
-        pairs = other.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if labels is not None:
-            known = lambda side: labels.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            pairs = pairs.join(known("a"), "a", "left").join(known("b"), "b", "left")
-            pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        links = work.keep(verify(work.keep(pairs, f"pairs-{step}")), f"links-{step}")
+            known = labels.withColumnRenamed("root", "to")
+            left = work.keep(left.join(known, "node", "left").select("bucket", "node", F.coalesce("to", "root").alias("root")), f"now-{step}")
+        open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        open_ = work.keep(open_, f"open-{step}")
+        if open_.isEmpty():
+            return labels if labels is not None else left.select("node", "root").limit(0)
+        still = work.keep(left.join(open_, "bucket"), f"still-{step}")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        lead = still.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        lead = work.keep(lead.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root")), f"lead-{step}")
+        pairs = still.join(lead, "bucket").where("root <> leader_root")
+        pairs = work.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), f"pairs-{step}")
+        links = work.keep(verify(pairs), f"links-{step}")
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
-        labels = components(work, links, f"labels-{step}")
-        left = work.keep(open_.where(~F.array_contains("lead", F.col("node"))).select("bucket", "node"), f"left-{step + 1}")
-        for table in (f"left-{step}", f"now-{step}", f"lead-{step}", f"pairs-{step}"):
+        if not links.isEmpty():
+            labels = components(work, links, f"labels-{step}")
+        left = work.keep(still.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), f"left-{step + 1}")
+        for table in (f"left-{step}", f"now-{step}", f"open-{step}", f"still-{step}", f"lead-{step}", f"pairs-{step}"):
             work.drop(table)
-        step += 1
-    return labels if labels is not None else now.select("node", "root").limit(0)
+        step, leaders = step + 1, leaders * GROWTH
+
