@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from revlake.errors import CorruptionError
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -32,6 +35,10 @@ class Files:
         stream = fs.open(p)
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                raise CorruptionError(f"{path} does not match its checksum") from None
+            raise
         finally:
             stream.close()
 

@@ -1,0 +1,99 @@
+import pytest
+
+from revlake.functions.keys import prefix_end
+from revlake.operators import visibility
+from revlake.operators.ranges import KeyRange
+from revlake.plans.schema import LOG, check_log
+
+
+def log(spark, *entries):
+    return spark.createDataFrame([(k.encode(), r, v is None, None if v is None else v.encode()) for k, r, v in entries], LOG)
+
+
+def rows(df):
+    return [(bytes(r.key).decode(), bytes(r.value).decode(), r.revision) for r in df.collect()]
+
+
+VERSIONS = [("a", 5, "a5"), ("b", 4, "b4"), ("c", 3, "c3"), ("a", 3, "a3"), ("c", 2, None), ("a", 1, "a1"), ("d", 1, "d1")]
+
+
+def test_snapshot_picks_the_newest_version_at_or_below_it(spark):
+    assert rows(visibility.scan(log(spark, *VERSIONS), at=4)) == [("a", "a3", 3), ("b", "b4", 4), ("c", "c3", 3), ("d", "d1", 1)]
+
+
+def test_deletion_hides_older_versions(spark):
+    data = log(spark, ("a", 4, None), ("b", 3, "b3"), ("a", 2, "a2"), ("c", 1, "c1"))
+    assert rows(visibility.scan(data)) == [("b", "b3", 3), ("c", "c1", 1)]
+    assert rows(visibility.scan(data, at=2)) == [("a", "a2", 2), ("c", "c1", 1)]
+
+
+@pytest.mark.parametrize("latest", [visibility.latest_entries, visibility.latest_by_aggregate, visibility.latest_by_join])
+def test_the_three_reductions_agree(spark, latest):
+    found = {(bytes(r.key), r.revision, r.deleted) for r in latest(log(spark, *VERSIONS, ("e", 9, None)), 4).collect()}
+    assert found == {(b"a", 3, False), (b"b", 4, False), (b"c", 3, False), (b"d", 1, False)}
+
+
+def test_ranges_are_half_open(spark):
+    data = log(spark, ("a", 1, "1"), ("b", 2, "2"), ("c", 3, "3"))
+    keys = lambda r: [k for k, _, _ in rows(visibility.scan(data, r))]
+    assert keys(KeyRange.between("a", "c")) == ["a", "b"]
+    assert keys(KeyRange.at_least("b")) == ["b", "c"]
+    assert keys(KeyRange.until("b")) == ["a"]
+    assert keys(KeyRange.between("b", "b")) == []
+    assert keys(KeyRange.from_request(b"", b"")) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        KeyRange.between("c", "a")
+
+
+def test_range_overlap_and_membership():
+    r = KeyRange.between("b", "d")
+    assert r.includes(b"b") and not r.includes(b"d")
+    assert r.overlaps(b"a", b"b") and not r.overlaps(b"d", b"e") and r.overlaps(b"c", b"z")
+    assert not KeyRange.between("b", "b").overlaps(b"a", b"z")
+
+
+def test_prefix_ranges(spark):
+    assert prefix_end(b"proof/") == b"proof0"
+    assert prefix_end(b"a\xff") == b"b" and prefix_end(b"\xff\xff") is None
+    data = log(spark, ("proof/a", 1, "x"), ("proof0", 2, "x"), ("proof/b", 3, "x"))
+    assert [k for k, _, _ in rows(visibility.scan(data, KeyRange.prefix("proof/")))] == ["proof/a", "proof/b"]
+
+
+def test_limit_counts_visible_entries_in_key_order(spark):
+    data = log(spark, ("a", 1, "1"), ("a", 4, None), ("b", 2, "2"), ("c", 3, "3"), ("d", 5, "5"))
+    assert [k for k, _, _ in rows(visibility.scan(data, limit=2))] == ["b", "c"]
+    assert len(rows(visibility.scan(data, limit=0))) == len(rows(visibility.scan(data, limit=-1))) == 3
+
+
+def test_keys_sort_as_unsigned_bytes(spark):
+    keys = [b"\xff", b"", b"\x80", b"\x7f", b"a", b"ab", b"\x00", b"\x01\x02\xff", b"\x01\x03\x00"]
+    data = spark.createDataFrame([(k, i + 1, False, b"") for i, k in enumerate(keys)], LOG)
+    assert [bytes(r.key) for r in visibility.scan(data).collect()] == sorted(keys)
+
+
+def test_get_tells_empty_values_from_deletions(spark):
+    data = log(spark, ("a", 1, ""), ("b", 2, "x"), ("b", 3, None))
+    one = lambda k, at=None: visibility.get(data, k, at).first()
+    assert (one("a").found, bytes(one("a").value), one("a").revision) == (True, b"", 1)
+    assert (one("b").found, one("b").value, one("b").revision) == (False, None, None)
+    assert one("b", 2).found and not one("z").found
+    found = {bytes(r.key): r.found for r in visibility.multi_get(data, ["a", "b", "z", "a"]).collect()}
+    assert found == {b"a": True, b"b": False, b"z": False}
+
+
+def test_merge_keeps_duplicates_and_sorts(spark):
+    merged = visibility.merge(log(spark, ("b", 1, "x"), ("a", 1, "x")), log(spark, ("a", 2, "y"), ("a", 1, "x")), partitions=1)
+    assert [(bytes(r.key), r.revision) for r in merged.collect()] == [(b"a", 2), (b"a", 1), (b"a", 1), (b"b", 1)]
+
+
+def test_bad_entries_fail(spark):
+    for bad in [(b"a", 0, False, b"x"), (b"a", 1, False, None), (None, 1, False, b"x"), (b"a", 1, True, b"x")]:
+        with pytest.raises(Exception, match="not a log entry"):
+            check_log(spark.createDataFrame([bad], LOG)).collect()
+
+
+def test_range_and_revision_reach_the_scan(spark, tmp_path):
+    log(spark, *VERSIONS).write.parquet(str(tmp_path / "log"))
+    plan = visibility.visible(spark.read.parquet(str(tmp_path / "log")), 4, KeyRange.between("a", "c"))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan and "LessThanOrEqual(revision" in plan
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
