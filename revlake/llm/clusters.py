@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +39,13 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def classes(work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _agreement(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, v: n + v)
+
+
+def classes(
+    work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, agree: int = 0
+) -> DataFrame:
     """node and root for the nodes that verified links join; nodes without links are left out.
 
     members holds bucket and node. Only pairs that share a bucket are verified, and a bucket's pairs are
@@ -49,15 +55,20 @@ def classes(work: Workspace, members: DataFrame, verify: Callable[[DataFrame], D
     component, so every pair of a bucket ends up either verified or inside one component: no link
     between components is lost, whatever the size. A group of copies is done after the first round or
     two; only members that are not similar need the later ones, whose leaders are GROWTH times as many.
-    verify takes pairs a < b and returns those that are links.
+    verify takes pairs a < b and returns those that are links. With sketches (node, sketch), pairs whose
+    sketches agree in fewer than `agree` places are not verified: texts that share a bucket by a common
+    passage only are told apart without moving them.
     """
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     left = work.keep(members.join(work.keep(shared, "shared"), "bucket").withColumn("root", F.col("node")), "left-0")
+    rest = [] if sketches is None else ["sketch"]
+    if sketches is not None:
+        left = work.keep(left.join(sketches, "node"), "sketched")
     labels, step, leaders = None, 0, LEADERS
     while True:
         if labels is not None:
             known = labels.withColumnRenamed("root", "to")
-            left = work.keep(left.join(known, "node", "left").select("bucket", "node", F.coalesce("to", "root").alias("root")), f"now-{step}")
+            left = work.keep(left.join(known, "node", "left").select("bucket", "node", F.coalesce("to", "root").alias("root"), *rest), f"now-{step}")
         open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         open_ = work.keep(open_, f"open-{step}")
         if open_.isEmpty():
@@ -65,8 +76,10 @@ def classes(work: Workspace, members: DataFrame, verify: Callable[[DataFrame], D
         still = work.keep(left.join(open_, "bucket"), f"still-{step}")
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
         lead = still.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        lead = work.keep(lead.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root")), f"lead-{step}")
+        lead = work.keep(lead.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"), *(F.col(c).alias("leader_sketch") for c in rest)), f"lead-{step}")
         pairs = still.join(lead, "bucket").where("root <> leader_root")
+        if rest:
+            pairs = pairs.where(_agreement(F.col("sketch"), F.col("leader_sketch")) >= agree)
         pairs = work.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), f"pairs-{step}")
         links = work.keep(verify(pairs), f"links-{step}")
         if labels is not None:

@@ -14,6 +14,8 @@ from revlake.llm.hashing import mix, shingles, words
 SHINGLE, THRESHOLD = 5, 0.8
 #: Samples are BANDS times ROWS; at a similarity of 0.8 a pair shares a band with probability 0.995, at 0.9 0.99997.
 BANDS, ROWS = 10, 4
+#: Pairs that agree in fewer of their 40 samples are not compared: at a similarity of 0.8 that loses one pair in 250, at 0.85 one in 8000.
+AGREE = 25
 #: Document frequencies of words are counted in this many cells, whatever the corpus's size.
 CELLS = 1 << 20
 
@@ -84,10 +86,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / max(1e-12, float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def band_keys(hashes: np.ndarray, weights: np.ndarray, block: int = 512) -> np.ndarray:
-    """One key per band, of ROWS consistent weighted samples (Ioffe, 2010); none for a text without words."""
+def band_keys(hashes: np.ndarray, weights: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """One key per band, of ROWS consistent weighted samples (Ioffe, 2010), and 32 bits of every sample; none for a text without words."""
     if not len(hashes):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     k = len(_SEEDS)
     best, at, level = np.full(k, np.inf, np.float32), np.zeros(k, np.int64), np.zeros(k, np.int64)
     low, log_w = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32), np.log(weights)
@@ -108,11 +110,13 @@ def band_keys(hashes: np.ndarray, weights: np.ndarray, block: int = 512) -> np.n
         low_a = log_a[row, np.arange(k)]
         better = low_a < best
         best[better], at[better], level[better] = low_a[better], row[better] + i, t[row, np.arange(k)][better].astype(np.int64)
-    sample = mix(hashes[at] + mix(level.astype(np.uint64))).reshape(BANDS, ROWS)
+    sample = mix(hashes[at] + mix(level.astype(np.uint64)))
+    sketch = (sample & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    sample = sample.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = mix(key * np.uint64(31) + sample[:, j])
-    return key.view(np.int64)
+    return key.view(np.int64), sketch
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -132,11 +136,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     def sign(batches):
         for batch in batches:
             keys = [band_keys(*weigh(t.as_py(), idf.value)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+            bands, sketches = ([x[i] for x in keys] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "digest", "keys", "sketch"])
 
-    signed = docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, keys array<bigint>")
+    signed = docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, keys array<bigint>, sketch array<int>")
     signed = work.keep(signed, "signed")
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first(F.struct("keys", "sketch")).alias("s")).select("digest", "first", "s.*")
     nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
 
     kept: list[DataFrame] = []
     members = nodes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    labels = classes(work, members, verify)
+    labels = classes(work, members, verify, nodes.select("node", "sketch"), AGREE)
     rooted = work.keep(nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "rooted")
     order = F.coalesce("first", F.lit(2**63 - 1))
     heads = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.min_by("digest", F.struct(order, F.col("digest"))).alias("digest"))
