@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ UNIT = 64
 #: The hash depends on this many bytes; texts are hashed in blocks of BLOCK.
 WINDOW, BLOCK = 32, 1 << 22
 MAGIC = b"CDC1"
+#: Bits of the filter of shared digests.
+FILTER_BITS = 1 << 24
 
 _GEAR = np.random.default_rng(0x6EA2).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -85,7 +86,8 @@ def _facts(key: bytes, listed: bytes, have: dict[bytes, bytes]) -> tuple:
     return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
-_FACTS = "key binary, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_FACTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_NAMES = [x.split()[0] for x in _FACTS.split(", ")]
 _KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 _PART = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
 
@@ -94,80 +96,95 @@ def _rows(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*columns, strict=True) if columns else [[]] * len(kinds), kinds, strict=True)], names)
 
 
-def store(docs: DataFrame, work: Workspace) -> DataFrame:
-    """One pack for each distinct text: key, chunk list, own chunks, and lent ones (own chunks that other texts use too).
+def _cells(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:4], "little") % FILTER_BITS, int.from_bytes(digest[4:8], "little") % FILTER_BITS
 
-    A chunk is stored once, in the pack of the text that owns it (the first by key and place). To find
-    the owners only digests are shuffled; whole texts move once, compressed. Copies of a text are
-    dropped before their chunks are stored.
+
+def _digests(text: str) -> dict[bytes, bytes]:
+    return {hashlib.sha256(c).digest(): c for c in chunks(pad(text.encode()))}
+
+
+def shared_filter(docs: DataFrame) -> np.ndarray:
+    """A Bloom filter, of fixed size, of the chunk digests that more than one document has.
+
+    A chunk outside it belongs to one document for certain. Only digests are shuffled.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
 
-    def index(batches):
+    def digests(batches):
         for batch in batches:
-            out = []
-            for key, text in zip(*batch.columns, strict=True):
-                seen = dict.fromkeys(hashlib.sha256(c).digest() for c in chunks(pad(text.as_py().encode())))
-                out += [(key.as_py(), i, d) for i, d in enumerate(seen)]
-            yield _rows(out, [pa.binary(), pa.int32(), pa.binary()], ["key", "nth", "digest"])
-
-    used = work.keep(texts.select("key", "text").mapInArrow(index, "key binary, nth int, digest binary"), "index")
-    owner = used.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner <> other")
-    owner = work.keep(owner.select("digest", "owner"), "owners")
-    shared = used.join(owner, "digest").select("key", "nth", (F.col("key") == F.col("owner")).alias("mine")).distinct()
-    shared = work.keep(shared.groupBy("key").agg(F.collect_list(F.struct("nth", "mine")).alias("shared")), "shared")
-    first = work.keep(texts.groupBy("key").agg(F.min("doc_id").alias("first")).join(shared, "key", "left"), "first")
-    for table in ("index", "owners", "shared"):
-        work.drop(table)
-
-    def squeeze(batches):
-        press = zstandard.ZstdCompressor(level=6)
+            yield _rows([(d,) for t in batch.column(0) for d in _digests(t.as_py())], [pa.binary()], ["digest"])
+
+    def cells(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc_id", "key", "data"])
+            yield _rows([(c,) for d in batch.column(0) for c in _cells(d.as_py())], [pa.int64()], ["cell"])
+
+    again = docs.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = again.select("digest").mapInArrow(cells, "cell bigint").distinct().toArrow()["cell"].to_numpy()  # FILTER_BITS at most
+    out = np.zeros(FILTER_BITS, bool)
+    out[at] = True
+    return np.packbits(out)
+
+
+def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Packs (doc_id, key, chunk list, own chunks and digests of borrowed ones) and the shared chunks (digest, data).
 
-    small = texts.select("doc_id", "key", "text").mapInArrow(squeeze, "doc_id bigint, key binary, data binary")
-    one = small.join(first.withColumnRenamed("key", "k"), F.expr("key = k AND doc_id <=> first")).select("key", "data", "shared").dropDuplicates(["key"])
+    A document's pack holds the chunks that it alone has; every other chunk is stored once, by its
+    digest. Texts are not shuffled: chunks are cut where the text is read, and only those that pass the
+    filter of shared digests move to be deduplicated.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(shared_filter(texts))
+
+    def split(text: str) -> tuple[dict[bytes, bytes], dict[bytes, bytes], list[tuple[bytes, int]]]:
+        bits, own, other, listed = known.value, {}, {}, []
+        for c in chunks(pad(text.encode())):
+            d = hashlib.sha256(c).digest()
+            listed.append((d, len(c)))
+            (other if all(bits[i >> 3] >> (7 - (i & 7)) & 1 for i in _cells(d)) else own)[d] = c
+        return own, other, listed
 
     def pack(batches):
-        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for key, data, shared in zip(*batch.columns, strict=True):
-                text = open_.decompress(data.as_py())
-                parts = list(chunks(pad(text)))
-                listed = [(hashlib.sha256(c).digest(), len(c)) for c in parts]
-                kind = {s["nth"]: s["mine"] for s in shared.as_py() or ()}
-                have = dict(zip((d for d, _ in listed), parts, strict=True))
-                bins = {None: [], True: [], False: []}
-                for i, (digest, c) in enumerate(have.items()):
-                    bins[kind.get(i)].append({"digest": digest, "data": c})
-                out.append((key.as_py(), recipe(len(text), listed), bins[None], bins[True], [x["digest"] for x in bins[False]]))
-            yield _rows(out, [pa.binary(), pa.binary(), pa.list_(_PART), pa.list_(_PART), pa.list_(pa.binary())], ["key", "recipe", "own", "lent", "borrowed"])
-
-    part = "array<struct<digest:binary,data:binary>>"
-    packs = work.keep(one.mapInArrow(pack, f"key binary, recipe binary, own {part}, lent {part}, borrowed array<binary>"), "packs")
-    work.drop("first")
-    return packs
-
-
-def read(packs: DataFrame) -> DataFrame:
-    """The facts of every stored payload, from its chunk list and chunks; borrowed chunks come by a join on their digest."""
+            for doc, t in zip(*batch.columns, strict=True):
+                text = t.as_py()
+                own, other, listed = split(text)
+                out.append((doc.as_py(), hashlib.sha256(text.encode()).digest(), recipe(len(text.encode()), listed), [{"digest": d, "data": c} for d, c in own.items()], list(other)))
+            yield _rows(out, [pa.int64(), pa.binary(), pa.binary(), pa.list_(_PART), pa.list_(pa.binary())], ["doc_id", "key", "recipe", "own", "borrowed"])
+
+    def lend(batches):
+        for batch in batches:
+            yield _rows([x for t in batch.column(0) for x in split(t.as_py())[1].items()], [pa.binary(), pa.binary()], ["digest", "data"])
+
+    shared = texts.select("text").mapInArrow(lend, "digest binary, data binary").groupBy("digest").agg(F.min("data").alias("data"))
+    shared = work.keep(shared, "shared")
+    packs = work.keep(texts.mapInArrow(pack, "doc_id bigint, key binary, recipe binary, own array<struct<digest:binary,data:binary>>, borrowed array<binary>"), "packs")
+    return packs, shared
+
+
+def read(packs: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id and the facts of every stored payload, from its chunk list and chunks; borrowed chunks come by a join on their digest.
+
+    Copies of a text have equal packs, of which one is put together."""
 
     def facts(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                have = {p["digest"]: p["data"] for column in ("own", "lent", "fetched") for p in row.get(column) or ()}
-                out.append(_facts(row["key"], row["recipe"], have))
-            yield _rows(out, _KINDS, [x.split()[0] for x in _FACTS.split(", ")])
-
-    alone = packs.where("size(borrowed) = 0").select("key", "recipe", "own", "lent").mapInArrow(facts, _FACTS)
-    wanted = packs.where("size(borrowed) > 0").select("key", F.explode("borrowed").alias("digest"))
-    lent = packs.where("size(lent) > 0").select(F.explode("lent").alias("p")).select("p.digest", "p.data")
-    fetched = wanted.join(lent, "digest").select("key", F.struct("digest", "data").alias("p")).groupBy("key").agg(F.collect_list("p").alias("fetched"))
-    mixed = packs.where("size(borrowed) > 0").select("key", "recipe", "own", "lent").join(fetched, "key")
-    return alone.unionByName(mixed.mapInArrow(facts, _FACTS))
+                have = {p["digest"]: p["data"] for column in ("own", "fetched") for p in row.get(column) or ()}
+                out.append(_facts(row["id"], row["recipe"], have))
+            yield _rows(out, [batch.schema.field("id").type, *_KINDS[1:]], ["id", *_NAMES])
+
+    alone = packs.where("size(borrowed) = 0").select(F.col("doc_id").alias("id"), "recipe", "own").mapInArrow(facts, f"id bigint, {_FACTS}")
+    some = packs.where("size(borrowed) > 0")
+    wanted = some.select("key", F.explode("borrowed").alias("digest")).distinct()
+    fetched = wanted.join(shared, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
+    lists = some.groupBy("key").agg(F.min("recipe").alias("recipe"))
+    own = some.where("size(own) > 0").select(F.col("key").alias("k"), "own")
+    mixed = fetched.join(lists, "key").join(own, F.expr("key = k"), "left")
+    mixed = mixed.select(F.col("key").alias("id"), "recipe", "own", "fetched").mapInArrow(facts, f"id binary, {_FACTS}")
+    copies = some.select("doc_id", "key").join(mixed, F.expr("key = id")).select("doc_id", *_NAMES)
+    return alone.withColumnRenamed("id", "doc_id").unionByName(copies)
 
 
 def columns(docs: DataFrame) -> DataFrame:
@@ -176,7 +193,4 @@ def columns(docs: DataFrame) -> DataFrame:
     A null text counts as empty, and an empty payload is one unit of zeros; null ids and repeated rows
     each keep their row; an empty table gives none; further columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "media")
-    known = work.keep(read(store(docs, work)), "facts")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("key"))
-    return rows.join(known, "key").drop("key")
+    return read(*store(docs, Workspace(docs.sparkSession, "media")))
