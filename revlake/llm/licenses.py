@@ -114,3 +114,36 @@ def scan(docs: DataFrame) -> DataFrame:
         F.size(longer).cast("bigint").alias("sentences"),
         F.array_join(longer, ",").alias("sequence"),
     )
+
+
+def _sql_reading(name: str, ends: str) -> str:
+    """Known sentences of one reading, as '<id><id>...' in the text's order; chr(1) marks the ends."""
+    pieces = f"string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), '{ends}', chr(1), 'g'), chr(1))"
+    return (
+        f"{name}_p AS (SELECT doc_id, unnest({pieces}) AS piece, generate_subscripts({pieces}, 1) AS nth FROM documents),\n"
+        f"{name} AS (SELECT doc_id, string_agg('<' || known.id || '>', '' ORDER BY nth) AS ids, count(*) AS n FROM {name}_p\n"
+        f"  JOIN known ON trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) = known.sentence GROUP BY doc_id)"
+    )
+
+
+def oracle() -> str:
+    """DuckDB SQL for scan() over a documents table with unique ids."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    held: dict[str, list[str]] = {}
+    for name, rule in RULES:
+        like = "%" + "%".join(f"<{k}>" for k in rule) + "%"
+        held.setdefault(name, []).append(f"l LIKE '{like}' OR w LIKE '{like}'")
+    tests = {name: f"({' OR '.join(parts)})" for name, parts in held.items()}
+    for loose, strict in IMPLIED.items():
+        tests[loose] = f"({tests[loose]} AND NOT {tests[strict]})"
+    names = ", ".join(f"CASE WHEN {tests[name]} THEN '{name}' END" for name in sorted(tests))
+    return f"""
+WITH known(id, sentence) AS (VALUES {known}),
+{_sql_reading("by_line", chr(92) + "n+")},
+{_sql_reading("wrapped", chr(92) + "n" + chr(92) + "s*" + chr(92) + "n")},
+found AS (SELECT d.doc_id, coalesce(b.ids, '') AS l, coalesce(r.ids, '') AS w, coalesce(b.n, 0) AS ln, coalesce(r.n, 0) AS wn
+  FROM documents d LEFT JOIN by_line b ON d.doc_id = b.doc_id LEFT JOIN wrapped r ON d.doc_id = r.doc_id)
+SELECT doc_id, concat_ws(',', {names}) AS licenses, CASE WHEN wn > ln THEN wn ELSE ln END AS sentences,
+  replace(trim(CASE WHEN wn > ln THEN w ELSE l END, '<>'), '><', ',') AS sequence
+FROM found
+"""

@@ -79,4 +79,4 @@ QUERIES = {
         op10_near_duplicates,
     )
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op9_license_scan": licenses.oracle()}
