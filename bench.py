@@ -28,7 +28,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from revlake.operators import compact, txn, validate, visibility
+    from revlake.operators import compact, validate, visibility
     from revlake.operators.ranges import KeyRange
     from revlake.plans.logs import events_log, orders_log, top_revision
     from revlake.plans.registry import QUERIES, _folder
@@ -54,7 +54,6 @@ def main() -> None:
         "compact_snapshot": lambda: compact.retain(events, half, True),
         "txn_fold": lambda: QUERIES["txn_value_equals"](spark, SF_DIR),
     }
-    assert txn
     times = {}
     for name, make in frames.items():
         best = []
