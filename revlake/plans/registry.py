@@ -212,10 +212,11 @@ def compact_preserves_views(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def key_order_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys in byte order: the hex of each and its place."""
+    """Keys in byte order: the hex of each and of the one before it with the same first byte."""
     rows = table(spark, sf, "documents").select(F.encode(F.substring("text", 1, 12), "UTF-8").alias("key"), (F.col("doc_id") + 1).alias("revision"), F.col("lang").alias("v"))
     best = rows.groupBy("key").agg(F.max_by(F.struct("revision", "v"), "revision").alias("e"))
-    return best.select(F.hex("key").alias("k"), "e.revision", "e.v", F.rank().over(visibility.Window.orderBy("key")).cast("bigint").alias("place"))
+    before = F.lag("key").over(visibility.Window.partitionBy(F.substring("key", 1, 1)).orderBy("key"))
+    return best.select(F.hex("key").alias("k"), "e.revision", "e.v", F.hex(before).alias("before"))
 
 
 def _folder(spark: SparkSession) -> str:

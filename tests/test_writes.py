@@ -42,7 +42,7 @@ def test_retention_keeps_every_open_view(spark):
     entries = [(chr(97 + rng.randrange(8)), r, None if rng.random() < 0.3 else str(r)) for r in range(1, 200)]
     data = log(spark, *entries)
     for snapshot in (50, 120, 199):
-        small = compact.retain(data, snapshot, True).localCheckpoint()
+        small = compact.retain(data, snapshot, True).checkpoint()
         for at in (snapshot, (snapshot + 199) // 2, None):
             seen = lambda d: sorted((bytes(r.key), bytes(r.value), r.revision) for r in visibility.visible(d, at).collect())
             assert seen(small) == seen(data)
