@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from revlake.llm.common import Workspace
 from revlake.llm.hashing import MARKS, mix, shingles, words
 
-#: Words of a seed. Seeds in at most RARE of the documents count as rare; each item's KEEP rarest ones stay in any case.
-SEED, RARE, KEEP = 4, 0.02, 8
+#: Words of a seed. One shared seed makes a passage a candidate, however common the seed is.
+SEED = 4
 #: Alignment by words: a match, a mismatch, a gap of one word.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: A copy aligns with at least this share of the item's words, and this many words (or the whole of a shorter item).
@@ -42,6 +42,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def reach(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words that the two have in common, each as often as both have it: no alignment scores more."""
+    distinct, times = np.unique(item, return_counts=True)
+    ordered = np.sort(passage)
+    return int(np.minimum(times, np.searchsorted(ordered, distinct, "right") - np.searchsorted(ordered, distinct)).sum())
+
+
 def seeds_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n_words and each distinct seed of the items; an item shorter than a seed is one seed of all its words."""
 
@@ -108,9 +115,8 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (share of the item's words that align), words (aligned score) and seeds of every copy found.
 
-    Seeds that are common in the corpus are left to alignment alone unless they are among the rarest of
-    their item, so an item whose copies fill the corpus keeps its seeds. Null texts count as empty and
-    never match; rows with null ids are kept; repeated rows and repeated items give one row for each
+    Every seed of every item makes candidates, common or not; a pair is left unaligned only where the
+    words in common are too few for any alignment to count. Null texts count as empty and never match; rows with null ids are kept; repeated rows and repeated items give one row for each
     pair of ids; empty tables give none; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -118,12 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     seeds = work.keep(seeds_of(benchmark), "seeds")
     found = work.keep(passages(docs, seeds).withColumn("passage", F.monotonically_increasing_id()), "passages")
     hits = work.keep(found.select("passage", "doc_id", F.explode("seeds").alias("seed")), "hits")
-    common = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
-    ranked = seeds.select("item_id", "seed").distinct().join(common, "seed")
-    ranked = ranked.withColumn("rank", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY df, seed)"))
-    rare = work.keep(ranked.where((F.col("rank") <= KEEP) | (F.col("df") <= RARE * n)).select("item_id", "seed"), "rare")
-    pairs = work.keep(hits.join(rare, "seed").groupBy("passage", "item_id").agg(F.count(F.lit(1)).alias("seeds")), "pairs")
+    pairs = work.keep(hits.join(seeds.select("item_id", "seed").distinct(), "seed").groupBy("passage", "item_id").agg(F.count(F.lit(1)).alias("seeds")), "pairs")
     items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("item")).distinct()
     items = work.keep(items, "items")
 
@@ -137,10 +138,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     if len(seen) > 1000:
                         seen.clear()
                     seen[item] = words(item.encode(), MARKS)[0]
-                best = align(seen[item], words(text.as_py().encode(), MARKS)[0])[0]
-                out.append((best, best / max(1, len(seen[item])), best >= min(LEAST, len(seen[item]))))
-            value, share, enough = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-            keep = [s >= threshold and e for s, e in zip(share, enough, strict=True)]
+                passage, n = words(text.as_py().encode(), MARKS)[0], max(1, len(seen[item]))
+                enough = lambda score: score / n >= threshold and score >= min(LEAST, n)  # noqa: B023, E731
+                best = align(seen[item], passage)[0] if enough(reach(seen[item], passage)) else 0.0
+                out.append((best, best / n, enough(best)))
+            value, share, keep = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
             rows = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(value, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "seeds", "words", "score"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 

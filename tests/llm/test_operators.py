@@ -352,6 +352,26 @@ def test_copies_of_items_are_found(spark):
     assert {r.doc_id for r in left.collect()} == set(range(60)) | {None, 104}
 
 
+def test_edited_copies_of_a_hot_item_are_found_beside_a_full_one(spark):
+    rng = random.Random(21)
+    item = prose(rng, 40).split()
+    edited = [*item[:10], "changed", *item[11:25], "changed", *item[26:]]  # the eight seeds that only the full copy has
+    docs = [(i, prose(rng, 60)) for i in range(60)] + [(100, " ".join(item))]
+    docs += [(200 + i, f"{prose(rng, 15)} {' '.join(edited)} {prose(rng, 15)}") for i in range(30)]
+    docs += [(300 + i, f"{prose(rng, 15)} {' '.join(edited[5:35])} {prose(rng, 15)}") for i in range(5)]
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(frame(spark, docs), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert set(found) == {(i, 1) for i in [100, *range(200, 230), *range(300, 305)]}
+    assert found[100, 1] == 1 and found[200, 1] == 37 / 40
+
+
+def test_no_alignment_scores_more_than_the_words_in_common():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        a, b = rng.integers(0, 6, 12).astype(np.uint64), rng.integers(3, 9, 20).astype(np.uint64)
+        shared = collections.Counter(a.tolist()) & collections.Counter(b.tolist())
+        assert decontamination.align(a, b)[0] <= decontamination.reach(a, b) == sum(shared.values())
+
+
 def test_alignment_against_the_full_table():
     rng = np.random.default_rng(1)
     for _ in range(30):
