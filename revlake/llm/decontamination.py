@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import Workspace
@@ -49,24 +49,24 @@ def reach(item: np.ndarray, passage: np.ndarray) -> int:
     return int(np.minimum(times, np.searchsorted(ordered, distinct, "right") - np.searchsorted(ordered, distinct)).sum())
 
 
-def seeds_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_words and each distinct seed of the items; an item shorter than a seed is one seed of all its words."""
+def seeds_of(items: DataFrame) -> DataFrame:
+    """key, n_words and each distinct seed of the items; an item shorter than a seed is one seed of all its words."""
 
     def cut(batches):
         for batch in batches:
             out = ([], [], [])
-            for item, t in zip(batch.column(0), batch.column(1), strict=True):
+            for key, t in zip(batch.column(0), batch.column(1), strict=True):
                 hashes = words((t.as_py() or "").encode(), MARKS)[0]
                 for s in np.unique(shingles(hashes, SEED)).view(np.int64).tolist():
-                    for column, v in zip(out, (item.as_py(), len(hashes), s), strict=True):
+                    for column, v in zip(out, (key.as_py(), len(hashes), s), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["item_id", "n_words", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "n_words", "seed"])
 
-    return benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, "item_id bigint, n_words bigint, seed bigint")
+    return items.select("key", "item").mapInArrow(cut, "key bigint, n_words bigint, seed bigint")
 
 
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """doc_id, text and seeds of every passage that may hold a seed, with as many words around it as the longest item has.
+    """doc_id, digest of the whole text, text and seeds of every passage that may hold a seed, with as many words around it as the longest item has.
 
     Whole texts are scanned against a filter of fixed size; hits nearer than that many words share a passage.
     """
@@ -85,8 +85,8 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     def scan(batches):
         open_ = np.unpackbits(known.value).astype(bool)
         for batch in batches:
-            out = ([], [], [])
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
+            out = ([], [], [], [])
+            for doc, digest, t in zip(*batch.columns, strict=True):
                 data = (t.as_py() or "").encode()
                 hashes, starts, ends = words(data, MARKS)
                 at, found = [], []
@@ -105,34 +105,38 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 at, found = at[order], found[order]
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > margin) + 1):
                     first, last = max(0, at[part[0]] - margin), min(len(hashes), at[part[-1]] + SEED + margin) - 1
-                    for column, v in zip(out, (doc.as_py(), data[starts[first] : ends[last]].decode(), np.unique(found[part]).view(np.int64)), strict=True):
+                    for column, v in zip(out, (doc.as_py(), digest.as_py(), data[starts[first] : ends[last]].decode(), np.unique(found[part]).view(np.int64)), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64()))], ["doc_id", "text", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "digest", "text", "seeds"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(scan, "doc_id bigint, text string, seeds array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), _digest().alias("digest"), F.col("text").cast("string"))
+    return rows.mapInArrow(scan, "doc_id bigint, digest binary, text string, seeds array<bigint>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score (share of the item's words that align), words (aligned score) and seeds of every copy found.
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _copies(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """doc_id and digest of a document's text, item_id, score, words and seeds of every passage that counts as a copy.
 
     Every seed of every item makes candidates, common or not; a pair is left unaligned only where the
-    words in common are too few for any alignment to count. Null texts count as empty and never match; rows with null ids are kept; repeated rows and repeated items give one row for each
-    pair of ids; empty tables give none; further columns are ignored.
+    words in common are too few for any alignment to count.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "decontamination")
-    seeds = work.keep(seeds_of(benchmark), "seeds")
-    found = work.keep(passages(docs, seeds).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    hits = work.keep(found.select("passage", "doc_id", F.explode("seeds").alias("seed")), "hits")
-    pairs = work.keep(hits.join(seeds.select("item_id", "seed").distinct(), "seed").groupBy("passage", "item_id").agg(F.count(F.lit(1)).alias("seeds")), "pairs")
     items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("item")).distinct()
-    items = work.keep(items, "items")
+    items = work.keep(items.withColumn("key", F.monotonically_increasing_id()), "items")  # ids can be null or repeated
+    seeds = work.keep(seeds_of(items), "seeds")
+    found = work.keep(passages(docs, seeds).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    hits = work.keep(found.select("passage", F.explode("seeds").alias("seed")), "hits")
+    pairs = work.keep(hits.join(seeds.select("key", "seed"), "seed").groupBy("passage", "key").agg(F.count(F.lit(1)).alias("seeds")), "pairs")
 
     def score(batches):
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             out = []
-            for item, text in zip(batch.column(3), batch.column(4), strict=True):
+            for item, text in zip(batch.column(4), batch.column(5), strict=True):
                 item = item.as_py()
                 if item not in seen:
                     if len(seen) > 1000:
@@ -143,15 +147,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 best = align(seen[item], passage)[0] if enough(reach(seen[item], passage)) else 0.0
                 out.append((best, best / n, enough(best)))
             value, share, keep = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-            rows = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(value, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "seeds", "words", "score"])
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(value, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "digest", "item_id", "seeds", "words", "score"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(items, "item_id").join(found.select("passage", "doc_id", "text"), "passage")
-    aligned = both.select("doc_id", "item_id", "seeds", "item", "text").mapInArrow(score, "doc_id bigint, item_id bigint, seeds bigint, words double, score double")
+    both = pairs.join(items, "key").join(found.select("passage", "doc_id", "digest", "text"), "passage")
+    return both.select("doc_id", "digest", "item_id", "seeds", "item", "text").mapInArrow(score, "doc_id bigint, digest binary, item_id bigint, seeds bigint, words double, score double")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score (share of the item's words that align), words (aligned score) and seeds of every copy found.
+
+    Null texts count as empty and never match; rows and items with null ids are kept; repeated rows and
+    repeated items give one row for each pair of ids; empty tables give none; further columns are ignored.
+    """
+    aligned = _copies(docs, benchmark, threshold)
     return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("words").alias("words"), F.max("seeds").alias("seeds"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of the documents without a copy of any item; rows with null ids stay."""
-    bad = contaminated(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of the documents without a copy of any item, decided by id and text; rows with null ids stay."""
+    bad = _copies(docs, benchmark, THRESHOLD).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
+    return docs.withColumn("_digest", _digest()).join(bad, F.expr("cast(doc_id AS bigint) = _id AND _digest = _d"), "left_anti").drop("_digest")

@@ -364,6 +364,15 @@ def test_edited_copies_of_a_hot_item_are_found_beside_a_full_one(spark):
     assert found[100, 1] == 1 and found[200, 1] == 37 / 40
 
 
+def test_decontamination_with_null_and_shared_ids(spark):
+    rng = random.Random(22)
+    items = spark.createDataFrame([(None, prose(rng, 30)), (None, prose(rng, 30)), (7, prose(rng, 30))], "item_id bigint, text string")
+    texts = [r.text for r in items.collect()]
+    docs = frame(spark, [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, "a clean row with the same id"), (4, None)])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, None), (2, None), (3, 7)}
+    assert {(r.doc_id, r.text) for r in decontamination.clean(docs, items).collect()} == {(3, "a clean row with the same id"), (4, None)}
+
+
 def test_no_alignment_scores_more_than_the_words_in_common():
     rng = np.random.default_rng(2)
     for _ in range(30):
