@@ -224,6 +224,27 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+@query
+def key_order_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by the bytes of its whole text, then by revision: the hex of the key and its place in the whole order.
+
+    Ranges are sorted by themselves and written once, as another run would cut them elsewhere; a range's
+    first place is the number of rows in those before it (one row for each range reaches the driver).
+    """
+    rows = table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("key"), (F.col("doc_id") + 1).alias("revision"), F.col("lang").alias("v"))
+    ranges = rows.repartitionByRange("key", "revision").sortWithinPartitions("key", "revision")
+    path = _folder(spark)
+    ranges.select(F.hex("key").alias("k"), "revision", "v", F.monotonically_increasing_id().alias("slot")).write.parquet(path)
+    slots = spark.read.parquet(path).withColumn("range", F.shiftright("slot", 33))
+    first, at = [], 0
+    for r in sorted(slots.groupBy("range").count().collect()):
+        first.append((r["range"], at))
+        at += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(first, "range bigint, first bigint"))
+    place = F.col("first") + F.col("slot").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return slots.join(offsets, "range").select("k", "revision", "v", place.alias("place"))
+
+
 @query
 def checkpoint_restore(spark: SparkSession, sf: str) -> DataFrame:
     """A store takes half of the log, is checkpointed, takes the rest, and is restored."""

@@ -3,6 +3,7 @@ import pytest
 from revlake.functions.keys import prefix_end
 from revlake.operators import visibility
 from revlake.operators.ranges import KeyRange
+from revlake.plans.registry import QUERIES
 from revlake.plans.schema import LOG, check_log
 
 
@@ -97,3 +98,13 @@ def test_range_and_revision_reach_the_scan(spark, tmp_path):
     plan = visibility.visible(spark.read.parquet(str(tmp_path / "log")), 4, KeyRange.between("a", "c"))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan and "LessThanOrEqual(revision" in plan
     assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
+
+
+def test_whole_texts_in_byte_order(spark, tmp_path):
+    """No document is dropped, whatever it shares with others, and places go on from one first byte to the next."""
+    texts = ["the same beginning, b", "the same beginning, a", "the same beginning, a", "Z", "é", "漢", "", "a", "the same", "\U0001f600", "\uffff"]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, f"{i * 7 % 300} words", "de") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.place, r.k, r.revision, r.v) for r in QUERIES["key_order_whole"](spark, str(tmp_path)).collect())
+    ordered = sorted((t.encode(), i + 1, v) for i, t, v in docs)
+    assert found == [(n, k.hex().upper(), i, v) for n, (k, i, v) in enumerate(ordered, 1)]
