@@ -1,4 +1,5 @@
 import corpus_pipeline
+from revlake.llm import mixing
 from revlake.llm.queries import ORACLES, QUERIES
 
 
@@ -24,3 +25,11 @@ def test_stages(spark, tmp_path):
     for r in last:
         lines = before[r.doc_id].text.split("\n")
         assert all(x in lines for x in r.text.split("\n") if x) and r.n_chars == len(r.text) and r.taken <= 2 * r["size"]
+
+
+def test_the_mix_takes_effect_on_the_rows(spark):
+    rows = [(i, "one two three", "hot" if i < 200 else "small") for i in range(210)] + [(900, "", "small")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    every = {r.doc_id: r.taken for r in mixing.mix(docs, "text", "source").collect()}
+    found = {r.doc_id: r.taken for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    assert every[900] == 0 and found == {i: n for i, n in every.items() if n}
