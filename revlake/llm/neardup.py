@@ -14,8 +14,8 @@ from revlake.llm.hashing import mix, shingles, words
 SHINGLE, THRESHOLD = 5, 0.8
 #: Samples are BANDS times ROWS; at a similarity of 0.8 a pair shares a band with probability 0.995, at 0.9 0.99997.
 BANDS, ROWS = 10, 4
-#: Pairs that agree in fewer of their 40 samples are not compared: at a similarity of 0.8 that loses one pair in 250, at 0.85 one in 8000.
-AGREE = 25
+#: Pairs that agree in fewer of their 40 samples are not compared: at a similarity of 0.8 that loses less than one pair in 50,000.
+AGREE = 20
 #: Document frequencies of words are counted in this many cells, whatever the corpus's size.
 CELLS = 1 << 20
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -499,6 +500,12 @@ def test_samples_estimate_weighted_similarity():
     assert abs(np.mean(agree) - np.mean(exact)) < 0.04
 
 
+def test_sample_agreement_loses_few_pairs():
+    n, p = neardup.BANDS * neardup.ROWS, neardup.THRESHOLD
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.AGREE))
+    assert lost < 0.01 * (1 - p**neardup.ROWS) ** neardup.BANDS
+
+
 def test_word_hashes():
     h, s, e = hashing.words("Ab  ab\tcd é".encode())
     assert h[0] == h[1] != h[2] and list(s) == [0, 4, 7, 10] and list(e) == [2, 6, 9, 12]
