@@ -137,6 +137,10 @@ def test_line_dedup_against_brute_force(spark):
     assert found == brute_lines(rows)
 
 
+def test_bands_of_lines_miss_few_pairs():
+    assert (1 - linededup.THRESHOLD**linededup.ROWS) ** linededup.BANDS < 0.004
+
+
 def test_line_dedup_odd_rows(spark):
     found = collections.Counter((r.doc_id, r.text) for r in linededup.dedupe(odd(spark)).collect())
     assert found == collections.Counter(ODD)
