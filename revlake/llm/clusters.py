@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from revlake.llm.common import Workspace
 
-#: Members of a bucket that the first round compares with all its others, and the factor from round to round.
-LEADERS, GROWTH = 4, 16
+#: Members of a bucket that the second round compares with all its others (the first: one), and the factor from round to round.
+LEADERS, GROWTH = 8, 16
+#: Buckets of more members than this are split into narrower ones after the first round, where an operator has samples for that.
+HOT = 32
 
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -39,55 +40,62 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, v: n + v)
-
-
 def classes(
-    work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, agree: int = 0
+    work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """node and root for the nodes that verified links join; nodes without links are left out.
 
-    members holds bucket and node. Only pairs that share a bucket are verified, and a bucket's pairs are
-    not all listed: each round compares a bucket's leaders (its first members in a hashed order that is
-    the same in all buckets, found by a limit that works before the shuffle) with its other members of
-    other components, then retires them. A bucket is done when its remaining members are in one
-    component, so every pair of a bucket ends up either verified or inside one component: no link
-    between components is lost, whatever the size. A group of copies is done after the first round or
-    two; only members that are not similar need the later ones, whose leaders are GROWTH times as many.
-    verify takes pairs a < b and returns those that are links. With sketches (node, sketch), pairs whose
-    sketches agree in fewer than `agree` places are not verified: texts that share a bucket by a common
-    passage only are told apart without moving them.
+    members holds bucket and node, each pair of the two once. Only pairs that share a bucket are verified, and a
+    bucket's pairs are not all listed: each round compares a bucket's leaders with its other members of
+    other components, then retires them. The first round's leader is the smallest node, found by a sum
+    that is combined before the shuffle; later ones are drawn by a hash of the node whose limit follows
+    from the bucket's size, so no bucket is ever ranked or gathered in one place. A bucket is done when
+    its remaining members are in one component, so every pair of a bucket ends up either verified or
+    inside one component: no link between components is lost, whatever the size. A group of copies is
+    done after the first round or two; only members that are not similar need the later ones, whose
+    leaders are GROWTH times as many. verify takes pairs a < b and returns those that are links. refine,
+    if given, takes the members (bucket, node) of buckets that more than HOT members leave open after the
+    first round and returns them in narrower buckets, in which similar members meet again.
     """
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    left = work.keep(members.join(work.keep(shared, "shared"), "bucket").withColumn("root", F.col("node")), "left-0")
-    rest = [] if sketches is None else ["sketch"]
-    if sketches is not None:
-        left = work.keep(left.join(sketches, "node"), "sketched")
-    labels, step, leaders = None, 0, LEADERS
-    while True:
+
+    def opened(left: DataFrame, name: str) -> DataFrame | None:
+        """bucket, node, root and n, the bucket's size, of the buckets that are not in one component."""
+        now = left.withColumn("root", F.col("node"))
         if labels is not None:
-            known = labels.withColumnRenamed("root", "to")
-            left = work.keep(left.join(known, "node", "left").select("bucket", "node", F.coalesce("to", "root").alias("root"), *rest), f"now-{step}")
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        open_ = work.keep(open_, f"open-{step}")
-        if open_.isEmpty():
-            return labels if labels is not None else left.select("node", "root").limit(0)
-        still = work.keep(left.join(open_, "bucket"), f"still-{step}")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        lead = still.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        lead = work.keep(lead.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"), *(F.col(c).alias("leader_sketch") for c in rest)), f"lead-{step}")
-        pairs = still.join(lead, "bucket").where("root <> leader_root")
-        if rest:
-            pairs = pairs.where(_agreement(F.col("sketch"), F.col("leader_sketch")) >= agree)
-        pairs = work.keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), f"pairs-{step}")
+            known = labels.select("node", F.col("root").alias("to"))
+            now = left.join(known, "node", "left").select("bucket", "node", F.coalesce("to", "node").alias("root"))
+        now = work.keep(now, f"now-{name}")
+        open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        open_ = work.keep(open_.select("bucket", "n"), f"open-{name}")
+        still = None if open_.isEmpty() else work.keep(now.join(open_, "bucket"), f"still-{name}")
+        work.drop(f"now-{name}")
+        work.drop(f"open-{name}")
+        return still
+
+    facts = (F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = work.keep(members.groupBy("bucket").agg(*facts).where("lo < hi").select("bucket", "lo"), "shared")
+    left = work.keep(members.join(shared, "bucket").where("node <> lo"), "left-0")
+    work.drop("shared")
+    pairs = left.select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    left, labels, step, leaders = left.select("bucket", "node"), None, 0, LEADERS
+    while True:
+        pairs = work.keep(pairs, f"pairs-{step}")
         links = work.keep(verify(pairs), f"links-{step}")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
         if not links.isEmpty():
+            if labels is not None:
+                links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
             labels = components(work, links, f"labels-{step}")
-        left = work.keep(still.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), f"left-{step + 1}")
-        for table in (f"left-{step}", f"now-{step}", f"open-{step}", f"still-{step}", f"lead-{step}", f"pairs-{step}"):
+        still = opened(left, f"{step}")
+        if still is not None and step == 0 and refine is not None:
+            narrow = refine(still.where(F.col("n") > HOT).select("bucket", "node"))
+            still = opened(work.keep(still.where(F.col("n") <= HOT).select("bucket", "node").unionByName(narrow), "narrow"), "narrow")
+        if still is None:
+            return labels if labels is not None else left.select("node", F.col("node").alias("root")).limit(0)
+        draw = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) * F.col("n") < F.lit(leaders << 30)
+        lead = still.where(draw).select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+        pairs = still.join(lead, "bucket").where("root <> leader_root")
+        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        for table in (f"left-{step}", "narrow", f"pairs-{step}", f"still-{step - 1}"):
             work.drop(table)
+        left = still.where(~draw).select("bucket", "node")
         step, leaders = step + 1, leaders * GROWTH
-
