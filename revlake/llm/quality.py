@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import fold_of
 from revlake.llm.hashing import BLOCK, words
-from revlake.llm.linear import adam, labelled_ids, sigmoid
+from revlake.llm.linear import adam, held_out, labelled_ids, sigmoid
 
 FOLDS, FOLD = 3, 1
 #: Documented bounds of the training sample: trusted positives, and unlabelled texts.
@@ -65,11 +64,14 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
 
     In a batch whose second term is negative the step goes up that term instead (Kiryo et al., 2017).
     """
-    x = np.vstack([positive, unlabelled])
-    is_p = np.arange(len(x)) < len(positive)
+    return _nn_pu(np.vstack([positive, unlabelled]), len(positive), prior, epochs, batch, rate, penalty)
+
+
+def _nn_pu(x: np.ndarray, positives: int, prior: float, epochs: int = 30, batch: int = 256, rate: float = 0.01, penalty: float = 1e-3) -> np.ndarray:
+    """As nn_pu, for one matrix whose first rows are the positive ones: it is not copied."""
 
     def gradient(w, rows):
-        part, p = x[rows], is_p[rows]
+        part, p = x[rows], rows < positives
         if p.all() or not p.any():
             return np.zeros_like(w)
         z = part @ w[:-1] + w[-1]
@@ -90,39 +92,83 @@ def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float, lost: float
     return float(min(np.quantile(unlabelled, 1 - prior), np.quantile(positive, lost)))
 
 
-def _matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from held-out scores of both (best bin estimation, Garg et al., 2021).
+
+    Above any threshold there are at least as many unlabelled rows as the prior times the share of positives. The
+    threshold is taken where the ratio's upper confidence bound is least: there the unlabelled rows above are the purest.
+    """
+    at = np.sort(positive)
+    above_p = 1 - np.arange(len(at)) / len(at)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    slack = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(above_u[best] / above_p[best])
+
+
+def _estimate(x: np.ndarray, positives: int) -> float:
+    """prior_of by a classifier of trusted against unlabelled rows, trained on every second row and applied to the others."""
+    y = (np.arange(len(x)) < positives).astype(np.float32)
+    train = np.arange(0, len(x), 2)
+    weight = np.where(y == 1, len(x) / max(1, positives), len(x) / max(1, len(x) - positives)) / 2
+
+    def gradient(w, rows):
+        rows = train[rows]
+        part = x[rows]
+        e = (sigmoid(part @ w[:-1] + w[-1]) - y[rows]) * weight[rows]
+        return np.append(part.T @ e / len(rows) + 1e-2 * w[:-1], e.mean())
+
+    w = adam(gradient, len(train), x.shape[1] + 1, epochs=10, batch=256, rate=0.01)
+    z = x[1::2] @ w[:-1].astype(np.float32) + np.float32(w[-1])
+    held = y[1::2] == 1
+    return prior_of(z[held], z[~held]) if held.any() and not held.all() else 0.5
+
+
+def _matrix(sample: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """Features of the sample's texts, at most `most` rows, trusted ones first, and their number; filled batch by batch."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "x": [features(t.as_py()).tobytes() for t in batch.column(1)]}, schema=pa.schema([("y", pa.int32()), ("x", pa.binary())]))
+            data = [features(t.as_py()).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["y", "doc_id", "h", "x"])
 
-    rows = sample.select("y", "text").mapInArrow(run, "y int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, DIMS)
-    y = np.array(rows["y"].to_pylist(), int)
-    order = np.lexsort((x[:, -3], x[:, -9], y))  # the rows' order in the cluster must not matter
-    return x[order], y[order]
+    rows = sample.select("y", "doc_id", "h", "text").mapInArrow(run, "y int, doc_id bigint, h bigint, x binary")
+    x, facts, n = np.empty((most, DIMS), np.float32), np.empty((most, 3), np.int64), 0
+    for row in rows.toLocalIterator():
+        x[n], facts[n], n = np.frombuffer(row.x, np.float32), (row.y, row.doc_id, row.h), n + 1
+    order = np.lexsort((facts[:n, 2], facts[:n, 1], -facts[:n, 0]))  # the rows' order in the cluster must not matter
+    return x[order], int((facts[:n, 0] == 1).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learns from at most `positives` trusted rows and `unlabelled` rows without any label.
+    """Learns from at most `positives` trusted documents and `unlabelled` documents taken without any label.
 
-    Trusted rows have quality 1 outside the held-out fold. The class prior is the share of quality 1
-    among the labelled rows outside that fold. Both samples are picked by a hash of the id. Without
-    positives or unlabelled rows the score is the prior (a half if unknown).
+    Trusted ones have quality 1 outside the held-out fold. Unlabelled text is every other document, labelled or not,
+    outside that fold: no label of it is read, and the class prior among it is estimated from the features. Both samples
+    are picked by a hash of the id. An id that several rows have counts once, with the text whose hash is smallest, so
+    that repeated rows cannot grow the sample; rows with null ids are not learned from; null texts count as empty.
+    Without positives or unlabelled rows, as in an empty table, the score is constant; further columns are ignored.
     """
-    train = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(fold_of(F.col("doc_id"), FOLDS) == FOLD, F.lit(False)))
-    prior = train.agg(F.avg("quality")).first()[0]
-    ids = labelled_ids(labels, "quality", FOLDS, FOLD, positives).where("y = 1")
-    ranked = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(4 * unlabelled)
-    free = ranked.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy("o", "doc_id").limit(unlabelled).dropDuplicates(["doc_id"])
-    chosen = ids.select("doc_id", "y").unionByName(free.select("doc_id", F.lit(-1).alias("y")))
-    x, y = _matrix(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most positives + unlabelled ids
-    prior = float(np.clip(0.5 if prior is None else prior, 0.02, 0.98))
-    if not (y == 1).any() or not (y == -1).any():
-        return Model(np.zeros(DIMS), np.ones(DIMS), np.append(np.zeros(DIMS), np.log(prior / (1 - prior))), prior)
+    train = labelled_ids(labels, "quality", FOLDS, FOLD, positives).where("y = 1").select("doc_id", "y")
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select(F.col("doc_id").cast("bigint"))
+    ranked = ids.distinct().withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(positives + unlabelled)
+    free = ranked.join(F.broadcast(train.select("doc_id")), "doc_id", "left_anti").orderBy("o", "doc_id").limit(unlabelled)
+    chosen = train.unionByName(free.select("doc_id", F.lit(-1).alias("y")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min("h").alias("h"), F.min_by("text", F.struct("h", "text")).alias("text"))
+    x, n = _matrix(rows, positives + unlabelled)
+    if not n or n == len(x):
+        return Model(np.zeros(DIMS), np.ones(DIMS), np.zeros(DIMS + 1), 0.5)
     mean, scale = x.mean(0), x.std(0) + 1e-2
-    z = np.clip((x - mean) / scale, -5, 5)
-    w = nn_pu(z[y == 1], z[y == -1], prior)
-    w[-1] -= cut(z[y == 1] @ w[:-1] + w[-1], z[y == -1] @ w[:-1] + w[-1], prior)
+    x -= mean
+    x /= scale
+    np.clip(x, -5, 5, out=x)
+    prior = float(np.clip(_estimate(x, n), 0.02, 0.98))
+    w = _nn_pu(x, n, prior)
+    z = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
+    w[-1] -= cut(z[:n], z[n:], prior)
     return Model(mean, scale, w, prior)
 
 
@@ -139,13 +185,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t.as_py()) for t in batch.column(2)], np.float32).reshape(-1, DIMS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.score(x), pa.float64())], ["doc_id", "held_out", "score"])
 
-    held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == FOLD, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose whole text scores 0.5 or more."""
+    """The rows, with all their columns, whose whole text scores 0.5 or more.
+
+    A null text scores as an empty one; repeated rows are kept or dropped alike; null ids do not matter; an empty table
+    gives none; columns of any name pass through.
+    """
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
