@@ -11,30 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import fold_of
 from revlake.llm.hashing import BLOCK
-from revlake.llm.linear import adam, labelled_ids, sigmoid
+from revlake.llm.linear import adam, held_out, labelled_ids, sigmoid
 
 FOLDS, FOLD = 5, 0
 #: Documented bounds of the training sample: rows of each class.
 PER_CLASS = 3000
-#: Character n-grams of these lengths, in bytes of the case-folded UTF-8 text.
+#: Character n-grams of these lengths.
 ORDERS = (4, 5, 6, 7)
 BITS = 24
 FEATURES = 4096
 #: The sample is counted in this many partitions, each sending one compressed count table to the driver.
 PARTS = 6
 
-_RNG = np.random.default_rng(0x70C5)
-_BYTE = _RNG.integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
-_BYTE[65:91] = _BYTE[97:123]
-_BYTE[[9, 10, 11, 12, 13]] = _BYTE[32]
 _STEP = np.uint32(0x01000193)
 
 
-def _grams(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of each order's n-grams, as BITS-bit numbers; the text counts as padded by one space on each side."""
-    code = _BYTE[raw]
+def _codes(text: str | None) -> np.ndarray:
+    """One number per character of the text in small letters, with any of tab to carriage return as a space, padded by one space on each side."""
+    raw = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
+    raw = np.where((raw >= 9) & (raw <= 13), np.uint32(32), raw) * np.uint32(0x9E3779B1)
+    return raw ^ (raw >> np.uint32(15))
+
+
+def _grams(code: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of each order's n-grams, as BITS-bit numbers."""
     h = code
     for n in range(2, max(ORDERS) + 1):
         if len(code) < n:
@@ -48,9 +49,9 @@ def _grams(raw: np.ndarray) -> Iterator[np.ndarray]:
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Blocks of n-gram hashes of the whole text; neighbouring blocks overlap by the longest n-gram."""
-    raw = np.frombuffer(b" " + (text or "").encode() + b" ", np.uint8)
-    for at in range(0, max(1, len(raw) - max(ORDERS) + 1), BLOCK):
-        yield from _grams(raw[at : at + BLOCK + max(ORDERS) - 1])
+    codes = _codes(text)
+    for at in range(0, max(1, len(codes) - max(ORDERS) + 1), BLOCK):
+        yield from _grams(codes[at : at + BLOCK + max(ORDERS) - 1])
 
 
 @dataclass
@@ -109,11 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     Ratios r = log((n1 + 1) / (N1 + 2)) - log((n0 + 1) / (N0 + 2)) over the sample's documents scale the
     presence of each n-gram; the FEATURES n-grams with the most chi-squared weight are kept, and logistic
-    regression with an L2 penalty is trained on them. Without rows of both classes the score is constant.
+    regression with an L2 penalty is trained on them. An id that several rows have counts once, with the text whose
+    hash is smallest; rows with null ids are not learned from; null texts count as empty. Without rows of both classes,
+    as in an empty table, the score is constant; further columns are ignored.
     """
     ids = labelled_ids(labels, "toxic", FOLDS, FOLD, per_class)
-    share = labels.where(~F.coalesce(fold_of(F.col("doc_id"), FOLDS) == FOLD, F.lit(False)) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    share = labels.where(~held_out(F.col("doc_id"), FOLDS, FOLD) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sample = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    sample = sample.groupBy("doc_id", "y").agg(F.min("h").alias("h"), F.min_by("text", F.struct("h", "text")).alias("text"))
     counts, (n0, n1) = _counts(sample)
     if not n0 or not n1:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0 if share is None else float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -5, 5)))
@@ -130,14 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     def presence(batches):
         for batch in batches:
             at = [probe.present(t.as_py()).astype(np.int32) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), *batch.columns[1:]], ["at", "y", "doc_id", "h"])
 
-    rows = sample.select("text", "y").mapInArrow(presence, "at array<int>, y int").toArrow()
+    rows = sample.select("text", "y", "doc_id", "h").mapInArrow(presence, "at array<int>, y int, doc_id bigint, h bigint").toArrow()
     y = np.array(rows["y"].to_pylist(), np.float64)
     x = np.zeros((len(y), len(keys)), np.float32)
     for i, at in enumerate(rows["at"]):
         x[i, at.values.to_numpy()] = 1
-    order = np.lexsort((x.sum(1), y))  # the rows' order in the cluster must not matter
+    order = np.lexsort((rows["h"].to_numpy(), rows["doc_id"].to_numpy(), y))  # the rows' order in the cluster must not matter
     x, y = x[order] * ratio.astype(np.float32), y[order]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # back to the labels' class shares
 
@@ -162,6 +167,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shared.value.score(t.as_py()) for t in batch.column(2)], pa.float64())], ["doc_id", "held_out", "score"])
 
-    held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == FOLD, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
