@@ -141,6 +141,53 @@ def test_bands_of_lines_miss_few_pairs():
     assert (1 - linededup.THRESHOLD**linededup.ROWS) ** linededup.BANDS < 0.004
 
 
+def test_lines_of_other_scripts_are_linked(spark):
+    """MinHash and banding find nearly every pair of edited lines whose letters take two, three or four bytes."""
+    rng, rows = random.Random(31), []
+    for i in range(60):
+        letters = ("абвгдежзийклмноп", "漢字仮名交文章検索結果表示", "😀😁😂🤣😃😄😅😆😉😊")[i % 3]
+        line = [rng.choice(letters) for _ in range(80)]
+        rows.append((2 * i, "".join(line)))
+        line[40] = "#"
+        rows.append((2 * i + 1, "".join(line)))
+    found = {r.doc_id: r.text for r in linededup.dedupe(frame(spark, rows)).collect()}
+    assert all(found[2 * i] for i in range(60)) and sum(bool(found[2 * i + 1]) for i in range(60)) <= 1
+
+
+def test_bounds_prove_only_unlike_lines_apart(spark):
+    """No pair at the threshold or above is left unverified, long and repetitive lines included."""
+    F, rng, pairs = linededup.F, random.Random(33), []
+    for n in (3, 30, 90, 700, 4000):
+        for share in (0.0, 0.01, 0.02, 0.03, 0.2):
+            line = list(prose(rng, n)) + list("ab" * rng.randrange(60))
+            other = [rng.choice("xyz") if rng.random() < share else c for c in line]
+            pairs.append((len(pairs), "".join(line), "".join(other)))
+    both = spark.createDataFrame(pairs, "p int, a string, b string")
+    lines = both.selectExpr("stack(2, a, b) AS norm").distinct().withColumn("digest", linededup._digest("norm")).withColumn("id", F.lit(1).cast("bigint"))
+    sketch = linededup._signatures(lines)
+    every = lines.withColumn("every", linededup.shingles("norm", linededup.FINE)).select("norm", "digest", F.size("every").alias("distinct"), linededup.part_of("every").alias("part"))
+    facts = every.join(sketch, "digest")
+    for s in "ab":
+        names = ["size", "distinct", "part"]
+        named = facts.select(F.col("norm").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in names), *(F.col(f"k{w}").alias(f"k{s}{w}") for w in range(linededup.WORDS)))
+        both = both.join(named, s)
+    rows = both.select(linededup.alike("a", "b", 0.8).alias("alike"), linededup.may_link(0.8).alias("one"), linededup.may_still_link(0.8).alias("two")).collect()
+    assert len(rows) == len(pairs) and any(r.alike for r in rows) and all(r.one and r.two for r in rows if r.alike) and not all(r.one and r.two for r in rows)
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Splitting large buckets loses nothing that brute force finds."""
+    monkeypatch.setattr(clusters, "HOT", 2)
+    rng, rows = random.Random(35), []
+    passage = prose(rng, 60)
+    for i in range(30):
+        rows.append((2 * i, f"{passage} {prose(rng, 25)}"))
+        rows.append((2 * i + 1, rows[-1][1][:-1] + "#"))
+    found = {r.doc_id: r.text for r in linededup.dedupe(frame(spark, rows)).collect()}
+    monkeypatch.setattr(linededup, "SHINGLE", linededup.FINE)  # of the brute-force version
+    assert found == brute_lines(rows)
+
+
 def test_short_lines_with_edits(spark, monkeypatch):
     rng, rows = random.Random(23), []
     for i in range(60):
@@ -221,6 +268,33 @@ def test_classifiers_on_held_out_rows(spark, module, column, folds, fold):
     assert {0 <= r.score <= 1 for r in module.score(docs, none).collect()} == {True}
 
 
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_do_not_depend_on_the_order_of_rows(spark, module):
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 20").withColumn("text", linededup.F.concat("text", linededup.F.lit(" more"))))
+    scores = []
+    for parts in (1, 7):
+        model = module.fit(docs.repartition(parts), labels.repartition(parts))
+        scores.append(sorted((r.doc_id, r.score) for r in module.score(docs, model).collect()))
+    assert scores[0] == scores[1]
+    assert module.fit(empty(spark), labels).score("any" if module is toxicity else np.zeros((1, quality.DIMS))) is not None
+
+
+def test_prior_among_unlabelled_rows():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.9):
+        n = 4000
+        good = rng.random(n) < share
+        found = quality.prior_of(rng.normal(2, 1, 2000), np.where(good, rng.normal(2, 1, n), rng.normal(-2, 1, n)))
+        assert abs(found - share) < 0.08
+
+
+def test_ngrams_are_of_characters():
+    assert len(np.unique(np.concatenate(list(toxicity.grams("漢字かなカナ"))))) == 5 + 4 + 3 + 2 == 14
+    same = [np.unique(np.concatenate(list(toxicity.grams(t)))) for t in ("ПРИВЕТ, мир", "привет,\nмир")]
+    assert (same[0] == same[1]).all()
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, (600, 2)), rng.normal(-2, 1, (300, 2))
