@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import Workspace
@@ -41,7 +41,12 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
 
 
 def classes(
-    work: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None
+    work: Workspace,
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    facts: DataFrame | None = None,
+    possible: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """node and root for the nodes that verified links join; nodes without links are left out.
 
@@ -55,8 +60,11 @@ def classes(
     done after the first round or two; only members that are not similar need the later ones, whose
     leaders are GROWTH times as many. verify takes pairs a < b and returns those that are links. refine,
     if given, takes the members (bucket, node) of buckets that more than HOT members leave open after the
-    first round and returns them in narrower buckets, in which similar members meet again.
+    first round and returns them in narrower buckets, in which similar members meet again. possible, if given,
+    is a condition on columns of facts (one row a node) and on the same columns of a leader, under the prefix that
+    it is called with; it may be false only for pairs that verify would not return.
     """
+    columns = [c for c in facts.columns if c != "node"] if facts is not None else []
 
     def opened(left: DataFrame, name: str) -> DataFrame | None:
         """bucket, node, root and n, the bucket's size, of the buckets that are not in one component."""
@@ -67,13 +75,14 @@ def classes(
         now = work.keep(now, f"now-{name}")
         open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
         open_ = work.keep(open_.select("bucket", "n"), f"open-{name}")
-        still = None if open_.isEmpty() else work.keep(now.join(open_, "bucket"), f"still-{name}")
+        still = now.join(open_, "bucket") if facts is None else now.join(open_, "bucket").join(facts, "node")
+        still = None if open_.isEmpty() else work.keep(still, f"still-{name}")
         work.drop(f"now-{name}")
         work.drop(f"open-{name}")
         return still
 
-    facts = (F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = work.keep(members.groupBy("bucket").agg(*facts).where("lo < hi").select("bucket", "lo"), "shared")
+    ends = (F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = work.keep(members.groupBy("bucket").agg(*ends).where("lo < hi").select("bucket", "lo"), "shared")
     left = work.keep(members.join(shared, "bucket").where("node <> lo"), "left-0")
     work.drop("shared")
     pairs = left.select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
@@ -92,8 +101,10 @@ def classes(
         if still is None:
             return labels if labels is not None else left.select("node", F.col("node").alias("root")).limit(0)
         draw = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) * F.col("n") < F.lit(leaders << 30)
-        lead = still.where(draw).select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+        lead = still.where(draw).select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"), *(F.col(c).alias(f"leader_{c}") for c in columns))
         pairs = still.join(lead, "bucket").where("root <> leader_root")
+        if possible is not None:
+            pairs = pairs.where(possible("leader_"))
         pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         for table in (f"left-{step}", "narrow", f"pairs-{step}", f"still-{step - 1}"):
             work.drop(table)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.clusters import classes
-from revlake.llm.common import Workspace
+from revlake.llm.common import Workspace, fresh
 from revlake.llm.hashing import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Samples are BANDS times ROWS; at a similarity of 0.8 a pair shares a band with probability 0.995, at 0.9 0.99997.
 BANDS, ROWS = 10, 4
-#: Pairs that agree in fewer of their 40 samples are not compared: at a similarity of 0.8 that loses less than one pair in 50,000.
-AGREE = 20
+#: A leader's text is sent once for this many of the texts that it is compared with.
+FELLOWS = 256
+#: Slack of the bounds for sums in another order.
+SLACK = 1e-4
 #: Document frequencies of words are counted in this many cells, whatever the corpus's size.
 CELLS = 1 << 20
 
@@ -87,7 +92,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def band_keys(hashes: np.ndarray, weights: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """One key per band, of ROWS consistent weighted samples (Ioffe, 2010), and 32 bits of every sample; none for a text without words."""
+    """One key per band, of ROWS consistent weighted samples (Ioffe, 2010), and 32 bits of every sample, which estimate similarities; none for a text without words."""
     if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     k = len(_SEEDS)
@@ -135,39 +140,48 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
 
     def sign(batches):
         for batch in batches:
-            keys = [band_keys(*weigh(t.as_py(), idf.value)) for t in batch.column(2)]
-            bands, sketches = ([x[i] for x in keys] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "digest", "keys", "sketch"])
+            weighed = [weigh(t.as_py(), idf.value) for t in batch.column(2)]
+            bands, total = [band_keys(*x)[0] for x in weighed], [float(w.sum(dtype=np.float64)) for _, w in weighed]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bands, pa.list_(pa.int64())), pa.array(total, pa.float64())], ["doc_id", "digest", "keys", "total"])
 
-    signed = docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, keys array<bigint>, sketch array<int>")
+    signed = docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id bigint, digest binary, keys array<bigint>, total double")
     signed = work.keep(signed, "signed")
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first(F.struct("keys", "sketch")).alias("s")).select("digest", "first", "s.*")
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("total").alias("total"))
     nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    texts = _candidates(work, docs.withColumn("digest", digest), nodes, members)
+    facts = work.keep(nodes.select("node", "total").join(alone(texts, idf), "node"), "facts")
+    hopeful = facts.where(F.col("alone") <= (1 - threshold) * F.col("total") + SLACK * F.col("total"))
+    members = work.keep(members.join(hopeful.select("node"), "node").select("bucket", "node"), "members")
+
+    def possible(leader: str) -> Column:
+        both = F.least(F.col("total") - F.col("alone"), F.col(f"{leader}total") - F.col(f"{leader}alone"))
+        return both >= (threshold - SLACK) * (F.col("total") + F.col(f"{leader}total") - both)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        used = nodes.join(used, "node").select("node", "digest", "first")
-        texts = docs.withColumn("digest", digest).join(used.withColumnRenamed("digest", "d"), F.expr("digest = d AND doc_id <=> first"))
-        texts = work.keep(texts.select("node", "text").dropDuplicates(["node"]), f"texts-{len(kept)}")
-        kept.append(texts)
-        side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+        side = lambda s, prefix: facts.select(F.col("node").alias(s), F.col("total").alias(f"{prefix}total"), F.col("alone").alias(f"{prefix}alone"))
+        pairs = work.keep(pairs.join(side("b", ""), "b").join(side("a", "lead_"), "a").where(possible("lead_")).select("a", "b"), f"near-{next(rounds)}")
+        crowds = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FELLOWS).cast("int").alias("seats"))
+        seated = pairs.join(crowds, "a").withColumn("seat", F.pmod(F.xxhash64("b"), F.col("seats")).cast("int"))
+        text_a = texts.join(crowds, F.expr("node = a")).select("a", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)).alias("seat"), F.col("text").alias("text_a"))
+        text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
         def compare(batches):
+            last, seen = None, None
             for batch in batches:
-                last, seen, close = None, None, []
+                close = []
                 for a, b in zip(batch.column(2), batch.column(3), strict=True):
                     a = a.as_py()
                     if a != last:
                         last, seen = a, weigh(a, idf.value)
                     close.append(similarity(seen, weigh(b.as_py(), idf.value)) >= threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
+        both = seated.join(text_b, "b").join(text_a, ["a", "seat"])
         return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
 
-    kept: list[DataFrame] = []
-    members = nodes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    labels = classes(work, members, verify)
+    rounds = count()
+    labels = classes(work, members, verify, facts=facts, possible=possible)
     rooted = work.keep(nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "rooted")
     order = F.coalesce("first", F.lit(2**63 - 1))
     heads = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.min_by("digest", F.struct(order, F.col("digest"))).alias("digest"))
@@ -177,10 +191,44 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     return rows, heads.select("digest", F.col("class_id").alias("doc_id"))
 
 
+def _candidates(work: Workspace, docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """node and text of every distinct text that shares a bucket with another one."""
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    used = members.join(shared, "bucket").select("node").distinct()
+    used = work.keep(nodes.join(used, "node").select("node", F.col("digest").alias("d"), "first"), "used")
+    texts = docs.join(used, F.expr("digest = d AND doc_id <=> first")).select("node", "text")
+    return work.keep(texts.dropDuplicates(["node"]), "texts")
+
+
+def alone(texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """node and alone, the weight of the shingles that no other candidate has, for every candidate.
+
+    A text of which more than 1 - threshold is alone is similar to none: heavily edited copies and texts with a common
+    passage are told apart by one count of the candidates' shingles, however many share a bucket.
+    """
+
+    def weights(batches):
+        for batch in batches:
+            for node, t in zip(*batch.columns, strict=True):
+                hashes, weight = weigh(t.as_py(), idf.value)
+                columns = [pa.array(np.full(len(hashes), node.as_py(), np.int64)), pa.array(hashes.view(np.int64)), pa.array(weight.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingle", "weight"])
+
+    every = texts.mapInArrow(weights, "node bigint, shingle bigint, weight double")
+    once = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    found = once.groupBy("node").agg(F.sum("weight").alias("alone"))
+    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+
+
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The documents' rows, one of each class: that with the smallest doc_id."""
+    """The documents' rows and columns, one row of each class: that with the smallest doc_id (null last), any one of equal ids and texts.
+
+    Null and empty texts are one class; rows with null ids stay only if their class has no other id; repeated rows give
+    one row; an empty table gives none; columns of any name pass through.
+    """
     _, stays = groups(docs)
-    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    stays = stays.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"))
-    rows = docs.withColumn("_digest", digest).join(stays, F.expr("_digest = _d AND doc_id <=> _i"), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    key, of, first = fresh(docs.columns, "digest", "of", "first")
+    stays = stays.select(F.col("digest").alias(of), F.col("doc_id").alias(first))
+    rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    rows = rows.join(stays, (F.col(key) == F.col(of)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(first)), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).drop(key)

@@ -13,7 +13,7 @@ import pytest
 import zstandard
 
 from revlake.llm import clusters, decontamination, hashing, licenses, linededup, media, mixing, neardup, pii, quality, toxicity, warc
-from revlake.llm.common import Workspace
+from revlake.llm.common import Workspace, fresh
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 RNG = random.Random(3)
@@ -595,10 +595,61 @@ def test_samples_estimate_weighted_similarity():
     assert abs(np.mean(agree) - np.mean(exact)) < 0.04
 
 
-def test_sample_agreement_loses_few_pairs():
-    n, p = neardup.BANDS * neardup.ROWS, neardup.THRESHOLD
-    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.AGREE))
-    assert lost < 0.01 * (1 - p**neardup.ROWS) ** neardup.BANDS
+def test_bounds_rule_out_no_similar_texts(spark):
+    """The weight that a text has alone is exact, and texts that it rules out are similar to none."""
+    rng, texts = random.Random(41), []
+    base = prose(rng, 150).split()
+    for i in range(40):
+        copy = list(base)
+        for k in rng.sample(range(150), i // 2):
+            copy[k] = f"edit{rng.random()}"
+        texts.append(" ".join(copy))
+    idf = np.full(neardup.CELLS, 0.5, np.float32)
+    weighed = [neardup.weigh(t, idf) for t in texts]
+    times = collections.Counter(h for x, _ in weighed for h in x.tolist())
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    found = {r.node: r.alone for r in neardup.alone(rows, spark.sparkContext.broadcast(idf)).collect()}
+    ruled_out = 0
+    for i, (x, w) in enumerate(weighed):
+        assert abs(found[i] - sum(float(v) for h, v in zip(x.tolist(), w, strict=True) if times[h] == 1)) < 1e-3
+        if found[i] > 0.2 * w.sum() * (1 + 1e-4):
+            ruled_out += 1
+            assert all(neardup.similarity(weighed[i], y) < 0.8 for j, y in enumerate(weighed) if j != i)
+    assert 10 < ruled_out < 40
+
+
+def test_hot_group_of_copies_and_a_common_passage(spark, monkeypatch):
+    """Classes equal those of all pairs where one group is large, its leader's text is sent to several seats, and a passage is common."""
+    monkeypatch.setattr(neardup, "FELLOWS", 3)
+    rng, rows = random.Random(42), []
+    base, passage = prose(rng, 120).split(), prose(rng, 60)
+    for i in range(60):
+        copy = list(base)
+        for k in rng.sample(range(120), rng.randrange(4)):
+            copy[k] = f"edit{rng.random()}"
+        rows.append((2 * i, " ".join(copy)))
+        rows.append((2 * i + 1, f"{passage} {prose(rng, 30)}"))
+    docs = frame(spark, rows)
+    idf = neardup.idf_table(docs)
+    weighed = {i: neardup.weigh(t, idf) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        if neardup.similarity(weighed[a], weighed[b]) >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    found = {r.doc_id: r.class_id for r in neardup.groups(docs)[0].collect()}
+    assert sum(found[i] != find(i) for i in root) <= 1  # banding may miss a pair near the threshold
+    assert len(set(found.values())) < 80
+
+
+def test_columns_of_a_step_get_fresh_names():
+    assert fresh(["a", "B_", "c"], "a", "b", "d", "d") == ["a_", "b", "d", "d_"] and fresh(["Key"], "key") == ["key_"]
 
 
 def test_word_hashes():
