@@ -19,3 +19,7 @@ class StoreClosedError(RevlakeError):
 
 class StoreLockedError(RevlakeError):
     """Another writer holds the store."""
+
+
+class RevisionExpiredError(RevlakeError):
+    """Compaction has dropped versions that a view at this revision would need."""

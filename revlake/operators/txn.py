@@ -127,17 +127,19 @@ def fold(commands: DataFrame, initial: DataFrame | None = None, single_key: bool
     Commands that share keys, directly or by a chain, form a component, which is folded in revision
     order; single_key says that every command's conditions and operations are on one key, so that no
     components need to be found. A component's rows are sorted and streamed: a task holds the state of
-    one component's keys, never its commands. initial is a view that the first commands see.
+    one component's keys, never its commands. initial is a view that the first commands see. Null conditions
+    or operations count as none; a command without either is applied and changes nothing.
     """
     commands = commands.select(*(F.col(f.name).cast(f.dataType) for f in COMMANDS))
-    keys = F.array_distinct(F.concat(F.transform("conditions", lambda c: c["key"]), F.transform("operations", lambda o: o["key"])))
+    listed = lambda name: F.coalesce(F.transform(name, lambda x: x["key"]), F.array().cast("array<binary>"))
+    keys = F.array_distinct(F.concat(listed("conditions"), listed("operations")))
     if single_key:
         placed = commands.withColumn("component", F.col("operations")[0]["key"])
         of_key = None
     else:
         members = commands.select(F.col("revision").alias("group"), F.explode(keys).alias("member"))
         labels = components(members)
-        placed = commands.join(labels.withColumnRenamed("group", "revision"), "revision").withColumn("component", F.col("component").cast("string").cast("binary"))
+        placed = commands.join(labels.withColumnRenamed("group", "revision"), "revision", "left").withColumn("component", F.col("component").cast("string").cast("binary"))
         of_key = members.join(labels, "group").groupBy(F.col("member").alias("key")).agg(F.min("component").cast("string").cast("binary").alias("component"))
     if initial is not None:
         start = initial.select("key", "value", "revision")
@@ -158,7 +160,7 @@ def fold(commands: DataFrame, initial: DataFrame | None = None, single_key: bool
                     component, state = row["component"], {}
                 applied = all(_holds(c, state) for c in row["conditions"] or ())
                 if applied:
-                    for o in row["operations"]:
+                    for o in row["operations"] or ():
                         if o["deleted"]:
                             state.pop(o["key"], None)
                         else:

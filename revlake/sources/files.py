@@ -26,9 +26,10 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def size(self, path: str) -> int | None:
+    def sizes(self, path: str) -> dict[str, int]:
+        """Name and length of every entry of a folder, by one listing; none if there is no such folder."""
         fs, p = self._at(path)
-        return fs.getFileStatus(p).getLen() if fs.exists(p) else None
+        return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p)} if fs.exists(p) else {}
 
     def read(self, path: str) -> str:
         fs, p = self._at(path)

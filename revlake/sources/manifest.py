@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,14 @@ from revlake.operators.compact import Segment
 from revlake.operators.ranges import KeyRange
 from revlake.plans.schema import LOG
 
-FORMAT = 1
+FORMAT = 2
 
 
 @dataclass(frozen=True)
 class Manifest:
     """applied_index is the position in the command log, applied_through the greatest visible revision: a failed
-    transaction moves only the first, and a restore may move both back."""
+    transaction moves only the first, and a restore may move both back. Below retained_from, compaction has dropped
+    versions."""
 
     version: int = 0
     applied_index: int = 0
@@ -28,6 +30,7 @@ class Manifest:
     next_order: int = 0
     segments: tuple[Segment, ...] = ()
     batches: dict[str, int] = field(default_factory=dict)
+    retained_from: int = 0
 
     def next(self, **changes) -> Manifest:
         return replace(self, version=self.version + 1, **changes)
@@ -40,6 +43,7 @@ class Manifest:
             "applied_through": self.applied_through,
             "next_order": self.next_order,
             "batches": self.batches,
+            "retained_from": self.retained_from,
             "segments": [{**s.__dict__, "low": s.low.hex(), "high": s.high.hex()} for s in self.segments],
         }
         text = json.dumps(body, sort_keys=True)
@@ -55,7 +59,7 @@ class Manifest:
             if body["format"] != FORMAT:
                 raise CorruptionError(f"unknown manifest format {body['format']}")
             segments = tuple(Segment(**{**s, "low": bytes.fromhex(s["low"]), "high": bytes.fromhex(s["high"])}) for s in body["segments"])
-            return cls(body["version"], body["applied_index"], body["applied_through"], body["next_order"], segments, body["batches"])
+            return cls(body["version"], body["applied_index"], body["applied_through"], body["next_order"], segments, body["batches"], body["retained_from"])
         except (ValueError, KeyError, TypeError) as e:
             raise CorruptionError(f"the manifest cannot be read: {e}") from None
 
@@ -63,6 +67,12 @@ class Manifest:
         """The segments that can hold an entry of the range at or below the revision."""
         return [s for s in self.segments if keys.overlaps(s.low, s.high) and (at is None or s.min_revision <= at)]
 
+    def pick_keys(self, keys: list[bytes], at: int | None = None) -> list[Segment]:
+        """The segments in whose key range one of the keys lies, and that hold an entry at or below the revision."""
+        ordered = sorted(keys)
+        meets = lambda s: (i := bisect_left(ordered, s.low)) < len(ordered) and ordered[i] <= s.high
+        return [s for s in self.segments if meets(s) and (at is None or s.min_revision <= at)]
+
 
 def read_segments(spark: SparkSession, root: str, segments: list[Segment]) -> DataFrame:
     """The entries of the segments, by an explicit file list and the fixed schema (nothing is inferred or listed)."""

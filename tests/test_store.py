@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlake.__main__ import main
-from revlake.errors import CorruptionError, InvalidRevisionError, StoreClosedError, StoreLockedError
+from revlake.errors import CorruptionError, InvalidRevisionError, RevisionExpiredError, StoreClosedError, StoreLockedError
 from revlake.operators.compact import Policy
 from revlake.operators.ranges import KeyRange
 from revlake.operators.txn import Condition, Operation, Transaction
@@ -85,6 +85,118 @@ def test_views_survive_compaction_and_vacuum(spark, tmp_path):
             view.get("a")
 
 
+def two_versions(spark, s):
+    for i in (1, 2, 3):
+        s.apply(log(spark, ("a", i, str(i)), (f"k{i}", i, "x")))
+
+
+def test_views_of_readers_elsewhere_are_protected(spark, tmp_path):
+    """A reader's lease holds back the writer, which knows nothing else of it; without one, or after it, files go."""
+    root = str(tmp_path / "s")
+    with Store.open(spark, root) as s, Store.open(spark, root, write=False) as reader:
+        two_versions(spark, s)
+        view = reader.read_view(2)
+        s.compact()
+        s.vacuum()
+        assert view.get("a") == (b"2", 2) and content(view.scan()) == {"a": ("2", 2), "k1": ("x", 1), "k2": ("x", 2)}
+        with s.read_view(2) as own:  # compaction kept what the lease needs
+            assert own.get("a") == (b"2", 2)
+        view.renew()
+        view.close()
+        s.compact()
+        assert s.vacuum() > 0 and not list((tmp_path / "s/_manifest").glob("lease-*"))
+        short = Store.open(spark, root, write=False, lease_seconds=0.0)
+        lost = short.read_view()
+        s.put("z", "1")
+        s.compact()
+        s.vacuum()
+        with pytest.raises(StoreClosedError):
+            lost.get("a")
+
+
+def test_frames_outlive_compaction_until_released(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        two_versions(spark, s)
+        frame = s.scan()
+        s.put("a", "new")
+        s.compact()
+        s.vacuum()
+        assert content(frame)["a"] == ("3", 3) and content(s.scan())["a"] == ("new", 4)
+        assert all(seg.rows < 6 for seg in s.manifest.segments)  # a frame needs its files, not old versions in new ones
+        s.release()
+        assert s.vacuum() > 0
+
+
+def test_views_below_the_retained_revisions_are_refused(spark, tmp_path):
+    root, copy = str(tmp_path / "s"), str(tmp_path / "c")
+    with Store.open(spark, root) as s:
+        two_versions(spark, s)
+        with s.read_view(1) as view:
+            assert view.get("a") == (b"1", 1)
+        s.compact()
+        for at in (0, 1, 2):
+            with pytest.raises(RevisionExpiredError):
+                s.read_view(at)
+        with s.read_view(3) as view:
+            assert view.get("a") == (b"3", 3)
+        s.checkpoint(copy)
+    with Store.from_checkpoint(spark, copy, str(tmp_path / "t")) as t, pytest.raises(RevisionExpiredError):
+        t.read_view(2)
+
+
+def test_backup_takes_the_newest_state(spark, tmp_path):
+    root = str(tmp_path / "s")
+    with Store.open(spark, root) as s, Store.open(spark, root, write=False) as stale:
+        s.put("a", "1")
+        assert stale.manifest.applied_index == 0
+        stale.backup(str(tmp_path / "b"))
+    with Store.restore_backup(spark, str(tmp_path / "b"), str(tmp_path / "t")) as t:
+        assert content(t.scan()) == {"a": ("1", 1)}
+
+
+def test_files_that_no_manifest_names(spark, tmp_path):
+    """Unknown files are corruption; what a writer that died left under an intent is deleted."""
+    root = tmp_path / "s"
+    with Store.open(spark, str(root)) as s:
+        s.put("a", "1")
+        s.compact()  # the first segment is of an older manifest only
+    (root / "data-left").mkdir()
+    (root / "data-left/part-0.parquet").write_bytes(b"x")
+    (root / "_manifest/intent-data-left").write_bytes(b"")
+    with Store.open(spark, str(root), write=False) as s:
+        assert content(s.scan()) == {"a": ("1", 1)} and (root / "data-left").exists()
+    with Store.open(spark, str(root)) as s:
+        assert not (root / "data-left").exists() and not (root / "_manifest/intent-data-left").exists()
+    (root / "data-strange").mkdir()
+    (root / "data-strange/part-0.parquet").write_bytes(b"x")
+    with pytest.raises(CorruptionError):
+        Store.open(spark, str(root))
+
+
+def test_keys_read_only_the_files_they_can_be_in(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        for i, keys in enumerate(("ab", "cd", "ef", "gh"), 1):
+            s.apply(log(spark, *((k, i, k) for k in keys)))
+        with s.read_view() as view:
+            literal, frame = view.multi_get(["c", "zz"]), view.multi_get(spark.createDataFrame([(b"e",), (b"f",)], "key binary"))
+            assert len(literal.inputFiles()) == 1 == len(frame.inputFiles()) and "In(key" in literal._jdf.queryExecution().executedPlan().toString()
+            assert {bytes(r.key): r.found for r in literal.collect()} == {b"c": True, b"zz": False} and frame.where("found").count() == 2
+            assert view.multi_get([]).count() == 0 == view.multi_get(spark.createDataFrame([], "key binary")).count()
+
+
+def test_counters(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        two_versions(spark, s)
+        with pytest.raises(InvalidRevisionError):
+            s.apply(log(spark, ("a", 1, "other")))
+        s.checkpoint(str(tmp_path / "c"))
+        s.restore(str(tmp_path / "c"))
+        s.compact()
+        r = s.stats().first()
+        assert (r.proposals, r.failed_proposals, r.commits, r.rejected, r.checkpoints, r.restores, r.compactions, r.failed_compactions, r.active_compactions) == (4, 1, 3, 1, 1, 1, 1, 0, 0)
+        assert r.last_restore_ms == r.restore_ms > 0 and [e.event for e in s.event_log().collect()] == ["checkpoint", "restore", "compaction"]
+
+
 def test_due_compactions(spark, tmp_path):
     with Store.open(spark, str(tmp_path / "s"), Policy(level0_segments=2, base_size=1, levels=3)) as s:
         for i in range(1, 5):

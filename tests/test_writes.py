@@ -105,6 +105,13 @@ def test_multi_key_fold(spark):
     assert sorted((bytes(r.key), bytes(r.value), r.revision) for r in left.collect()) == [(b"key", b"1", 5), (b"other", b"3", 7)]
 
 
+def test_fold_with_null_conditions_and_operations(spark):
+    rows = [(1, None, [("a", False, "x")]), (2, [("exists", "a", None, None)], [("b", False, "y")]), (3, None, None), (4, [("missing", "b", None, None)], [("c", False, "z")])]
+    data = "revision bigint, conditions array<struct<kind:string,key:binary,value:binary,revision:bigint>>, operations array<struct<key:binary,deleted:boolean,value:binary>>"
+    rows = [(r, c and [(k, key.encode(), v, n) for k, key, v, n in c], o and [(key.encode(), d, v.encode()) for key, d, v in o]) for r, c, o in rows]
+    assert {r.revision: r.applied for r in txn.fold(spark.createDataFrame(rows, data)).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_single_key_fold_matches_a_serial_run(spark):
     rng, items, state, want = random.Random(5), [], {}, {}
     for revision in range(1, 120):
