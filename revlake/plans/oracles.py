@@ -101,4 +101,29 @@ SELECT hex(b) AS k, revision, v, lag(hex(b)) OVER (PARTITION BY substring(hex(b)
     "metadata_applied_through": "SELECT max(event_id) + 1 AS applied_index, max(event_id) + 1 AS applied_through FROM events",
     "segment_stats": f"""{_LOGS} SELECT count(*) AS "rows", min(k) AS low, max(k) AS high, min(revision) AS min_revision, max(revision) AS max_revision
 FROM ev GROUP BY (revision - 1) // ((SELECT max(revision) FROM ev) // 4 + 1)""",
+    "store_put_delete": f"""{_LOGS} SELECT k, v, revision FROM {_visible('ev')} WHERE k NOT IN ('user/00000007', 'user/00000008')
+UNION ALL SELECT 'user/00000007', 'set', max(revision) + 1 FROM ev UNION ALL SELECT 'zz/new', '', max(revision) + 2 FROM ev""",
+    "store_write_batch": f"""{_LOGS}, gone AS (SELECT concat('cust/', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
+w AS (SELECT k, v, revision FROM {_visible('od')} WHERE k NOT IN ('cust/00000001', 'cust/00000002')
+UNION ALL SELECT 'cust/00000001', 'one', max(revision) + 1 FROM od UNION ALL SELECT 'zz/new', 'two', max(revision) + 1 FROM od)
+SELECT k, v, revision FROM w WHERE k NOT IN (SELECT k FROM gone)""",
+    "store_transact": f"""{_LOGS}, t AS (SELECT max(revision) AS base, (SELECT count(*) > 0 FROM {_visible('ev')} WHERE k = 'user/00000007') AS has FROM ev),
+r AS (SELECT 1 AS n, has AS applied, base FROM t UNION ALL SELECT 2, true, base FROM t UNION ALL SELECT 3, true, base FROM t UNION ALL SELECT 4, false, base FROM t
+UNION ALL SELECT 5, false, base FROM t UNION ALL SELECT 6, true, base FROM t UNION ALL SELECT 7, false, base FROM t)
+SELECT n, applied, CASE WHEN applied THEN base + n END AS revision FROM r""",
+    "store_transact_state": f"""{_LOGS}, t AS (SELECT max(revision) + 2 AS top FROM ev)
+SELECT s.k, s.v, s.revision, top AS applied_index, top AS applied_through FROM (SELECT k, v, revision FROM {_visible('ev')} WHERE k <> 'user/00000007'
+UNION ALL SELECT 'zz/a', 'y', top FROM t) s, t""",
+    "store_replay": _scan(),
+    "store_view_half": f"""{_LOGS}, b AS (SELECT k, (revision - 1) // 10 + 1 AS batch, revision AS r, deleted, v FROM ev),
+l AS (SELECT k, batch AS revision, deleted, v FROM (SELECT *, row_number() OVER (PARTITION BY k, batch ORDER BY r DESC) AS n FROM b) WHERE n = 1)
+SELECT k, v, revision FROM {_visible('l', 'revision <= (SELECT max(revision) // 2 FROM l)')}""",
+    "store_reader_view": f"{_LOGS} SELECT k, v, revision, 'half' AS \"at\" FROM {_visible('od', f'revision <= {_HALF_OD}')} UNION ALL SELECT k, v, revision, 'end' AS \"at\" FROM {_visible('od')}",
+    "store_compact": f"{_LOGS} SELECT k, revision, deleted, v FROM {_retained('ev', _END, True)}",
+    "store_compact_due": _scan(),
+    "store_multi_get": _found("(SELECT concat('cust/', lpad(CAST(c_custkey * 7 AS VARCHAR), 8, '0')) AS k FROM customer)", "od"),
+    "store_scan_range": _scan("od", "k >= 'cust/00000010' AND k < 'cust/00000090'", "ORDER BY k LIMIT 25"),
+    "store_backup_restore": _scan(),
+    "store_stats": """SELECT count(*) AS entries, 4 AS commits, 1 AS rejected, 5 AS proposals, 1 AS failed_proposals, 1 AS checkpoints, 1 AS restores,
+0 AS compactions, 0 AS failed_compactions, 0 AS active_compactions FROM events""",
 }

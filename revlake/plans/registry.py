@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlake.errors import InvalidRevisionError
 from revlake.functions.keys import utf8
 from revlake.operators import compact, txn, validate, visibility
+from revlake.operators.compact import Policy
 from revlake.operators.ranges import KeyRange
 from revlake.plans.logs import events_log, orders_log, shown, table, top_revision
 from revlake.plans.schema import CONDITION, OPERATIONS
-from revlake.session import reach
+from revlake.session import reach, shared_dir
 from revlake.sources.store import Store
 
 QUERIES: dict = {}
@@ -220,8 +221,7 @@ def key_order_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revlake-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 @query
@@ -285,3 +285,151 @@ def segment_stats(spark: SparkSession, sf: str) -> DataFrame:
             store.apply(log.where(F.expr(f"(revision - 1) div {part} = {i}")))
         rows = store.segments()
     return rows.select("rows", F.decode("low", "UTF-8").alias("low"), F.decode("high", "UTF-8").alias("high"), "min_revision", "max_revision")
+
+
+def _filled(spark: SparkSession, sf: str, log: DataFrame, parts: int = 4) -> Store:
+    """A new store that takes the log in several batches by revision."""
+    store = Store.open(spark, f"{_folder(spark)}/live", Policy(level0_segments=2, base_size=1, levels=3))
+    part = top_revision(log) // parts + 1
+    for i in range(parts):
+        store.apply(log.where(F.expr(f"(revision - 1) div {part} = {i}")))
+    return store
+
+
+@query
+def store_put_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Single writes after the events: an overwrite, a new key, and deletions of an existing and of an unknown key."""
+    with _filled(spark, sf, events_log(spark, sf), 1) as store:
+        store.put("user/00000007", "set")
+        store.put("zz/new", "")
+        store.delete("user/00000008")
+        store.delete("zz/unknown")
+        return shown(store.scan())
+
+
+@query
+def store_write_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches, each of one revision; the second comes as a frame that deletes every customer of segment BUILDING."""
+    with _filled(spark, sf, orders_log(spark, sf), 1) as store:
+        store.write([txn.Operation.put("cust/00000001", "one"), txn.Operation.put("zz/new", "two"), txn.Operation.delete("cust/00000002")])
+        gone = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(utf8(F.concat(F.lit("cust/"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("key"))
+        store.write_frame(gone.select("key", F.lit(True).alias("deleted"), F.lit(None).cast("binary").alias("value")))
+        return shown(store.scan())
+
+
+@query
+def store_transact(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of transactions with each kind of condition: a failed one uses up its index and has no revision."""
+    with _filled(spark, sf, events_log(spark, sf), 1) as store:
+        put = lambda key: [txn.Operation.put(key, "x")]
+        has, base = txn.Condition, store.manifest.applied_index
+        asked = [
+            (put("marker/1"), [has.exists("user/00000007")]),
+            (put("marker/2"), [has.missing("user/99999999"), has.missing("marker/2")]),
+            (put("marker/3"), [has.value_equals("marker/2", "x"), has.revision_equals("marker/2", base + 2)]),
+            (put("marker/4"), [has.value_equals("marker/2", "y")]),
+            (put("marker/5"), [has.revision_equals("marker/3", base + 2)]),
+            ([txn.Operation.delete("marker/2")], []),
+            (put("marker/6"), [has.exists("marker/2")]),
+        ]
+        done = [store.transact(txn.Transaction(*a)) for a in asked]
+        return spark.createDataFrame([(i + 1, d.applied, d.revision) for i, d in enumerate(done)], "n int, applied boolean, revision bigint")
+
+
+@query
+def store_transact_state(spark: SparkSession, sf: str) -> DataFrame:
+    """What is visible and where the log stands after a transaction that fails and one that applies."""
+    with _filled(spark, sf, events_log(spark, sf), 1) as store:
+        store.transact(txn.Transaction([txn.Operation.put("zz/a", "x")], [txn.Condition.exists("zz/b")]))
+        store.transact(txn.Transaction([txn.Operation.put("zz/a", "y"), txn.Operation.delete("user/00000007")], [txn.Condition.missing("zz/a")]))
+        return shown(store.scan()).crossJoin(store.metadata().select("applied_index", "applied_through"))
+
+
+@query
+def store_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that has the first half replays all commands: those after it are applied, earlier ones skipped."""
+    log = events_log(spark, sf)
+    half = top_revision(log) // 2
+    with Store.open(spark, f"{_folder(spark)}/live") as store:
+        store.apply(log.where(F.col("revision") <= half))
+        store.replay(_commands(log, F.lit(None)), single_key=True)
+        return shown(store.scan())
+
+
+@query
+def store_view_half(spark: SparkSession, sf: str) -> DataFrame:
+    """A view of the store, whose log came in batches that share revisions, at the half."""
+    log = batches(spark, sf)
+    with _filled(spark, sf, log) as store, store.read_view(top_revision(log) // 2) as view:
+        return shown(view.scan())
+
+
+@query
+def store_reader_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader's view at the half outlives the writer's compaction and vacuum; the end is as before, too."""
+    log = orders_log(spark, sf)
+    half = top_revision(log) // 2
+    with _filled(spark, sf, log) as store, Store.open(spark, store.root, write=False) as reader:
+        view = reader.read_view(half)
+        store.compact()
+        store.vacuum()
+        old = shown(view.scan()).withColumn("at", F.lit("half"))
+        return old.unionByName(shown(store.scan()).withColumn("at", F.lit("end")))
+
+
+@query
+def store_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries that a full compaction without open views leaves in the segments."""
+    with _filled(spark, sf, events_log(spark, sf)) as store:
+        store.compact()
+        with store.read_view() as view:
+            return shown(view.log())
+
+
+@query
+def store_compact_due(spark: SparkSession, sf: str) -> DataFrame:
+    """Planned compactions until none is due leave the visible entries as they were."""
+    with _filled(spark, sf, events_log(spark, sf)) as store:
+        if not store.compact_due():
+            raise AssertionError("no compaction was due")
+        return shown(store.scan())
+
+
+@query
+def store_multi_get(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh customer number, over several segments."""
+    wanted = table(spark, sf, "customer").select((F.col("c_custkey") * 7).alias("n"))
+    with _filled(spark, sf, orders_log(spark, sf)) as store, store.read_view() as view:
+        return shown(view.multi_get(wanted.select(utf8(F.concat(F.lit("cust/"), F.lpad(F.col("n").cast("string"), 8, "0"))).alias("key"))))
+
+
+@query
+def store_scan_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A client's range with a limit, over several segments."""
+    with _filled(spark, sf, orders_log(spark, sf)) as store:
+        return shown(store.scan("cust/00000010", "cust/00000090", 25))
+
+
+@query
+def store_backup_restore(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader opened before the writes backs up the newest state, which becomes a store of its own."""
+    log, root = events_log(spark, sf), _folder(spark)
+    with Store.open(spark, f"{root}/live") as store, Store.open(spark, f"{root}/live", write=False) as reader:
+        store.apply(log)
+        reader.backup(f"{root}/backup")
+    with Store.restore_backup(spark, f"{root}/backup", f"{root}/new") as new:
+        return shown(new.scan())
+
+
+@query
+def store_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters after four batches, a rejected one, a checkpoint and a restore."""
+    log = events_log(spark, sf)
+    with _filled(spark, sf, log) as store:
+        try:
+            store.apply(log.limit(1).select("key", "revision", F.lit(False).alias("deleted"), utf8(F.lit("other")).alias("value")))
+        except InvalidRevisionError:
+            pass
+        copy = store.checkpoint(f"{store.root}-copy")
+        store.restore(copy)
+        return store.stats().select("entries", "commits", "rejected", "proposals", "failed_proposals", "checkpoints", "restores", "compactions", "failed_compactions", "active_compactions")
