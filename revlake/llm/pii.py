@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "short_card", "local_phone")
+EXTRA_KINDS = ("iban", "short_card", "local_phone", "secret", "assigned")
+SECRET_KINDS = ("secret", "assigned")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -21,6 +24,16 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?0[0-9]{1,4}\)?[ /-][0-9][0-9 -]{4,12}[0-9](?![0-9])")
+#: Keys and tokens that their form gives away (fixed values).
+_SECRET = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}"
+    r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000})(?![A-Za-z0-9_-])"
+)
+#: A name that says what it holds, and the value given to it.
+_ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?[ \t]{0,3}(?:=|:)[ \t]{0,3}[\"']?([^\s\"',;]{8,200})", re.IGNORECASE)
+#: Bits a character that a random value has at least; words and placeholders have fewer, or no digit.
+ENTROPY = 2.5
 
 #: Words near a span that make it likelier (fixed values).
 CONTEXT = {
@@ -31,9 +44,11 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "transfer"),
     "short_card": ("card", "visa", "amex", "diners", "credit", "payment"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax"),
+    "secret": ("key", "token", "secret", "credentials"),
+    "assigned": ("config", "login", "auth", "bearer", "deploy"),
 }
 #: Score of a proposed span by kind, before context (fixed values): validated kinds start high.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "short_card": 0.3, "local_phone": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "short_card": 0.3, "local_phone": 0.2, "secret": 0.9, "assigned": 0.6}
 CONTEXT_GAIN, CONTEXT_CHARS, KEEP_AT = 0.4, 40, 0.5
 _WORD = re.compile(r"[a-z-]+")
 
@@ -112,6 +127,23 @@ def _local_phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SECRET.finditer(text):
+        yield m.span()
+
+
+def entropy(value: str) -> float:
+    """Bits a character, from the characters' own shares."""
+    return -sum(n / len(value) * log2(n / len(value)) for n in Counter(value).values())
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    for m in _ASSIGNED.finditer(text):
+        value = m.group(1)
+        if any(c.isdigit() for c in value) and entropy(value) >= ENTROPY:
+            yield m.span(1)
+
+
 FINDERS = {
     "email": emails,
     "ip": ips,
@@ -120,6 +152,8 @@ FINDERS = {
     "iban": ibans,
     "short_card": lambda t: _cards(t, 13, 15),
     "local_phone": _local_phones,
+    "secret": _secrets,
+    "assigned": _assigned,
 }
 
 
@@ -176,7 +210,10 @@ def joined(found: str | F.Column, kinds: tuple[str, ...] | None = None) -> F.Col
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with every span replaced by its kind in brackets; overlapping spans merge."""
+    """doc_id and the text with every span replaced by its kind in brackets; overlapping spans merge.
+
+    A null text becomes an empty one; null ids and repeated rows are kept; an empty table gives none; further columns are ignored.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +231,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """The digest columns: counts by base kind, hash of the base spans and all spans."""
+    """The digest columns: counts by base kind, hash of the base spans and all spans; counts of secrets and of all spans.
+
+    Nulls, repeated rows and empty tables as in spans().
+    """
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     return spans(docs).select(
         "doc_id",
         *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined("spans", BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"].isin(*SECRET_KINDS))).cast("bigint").alias("n_secret"),
+        F.size("spans").cast("bigint").alias("n_found"),
     )

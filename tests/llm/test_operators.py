@@ -381,6 +381,18 @@ def test_extra_kinds_and_context(spark):
     assert pii.summary(empty(spark)).count() == 0
 
 
+def test_secrets():
+    kinds = lambda text: [(s.kind, text[s.start : s.end]) for s in pii.find(text)]
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{value}"') == [("assigned", value)] and kinds(f"API_KEY:{value}, x") == [("assigned", value)]
+    assert kinds("password = correcthorse, token: aaaaaaaa1, secret is out") == []
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n") == [("secret", "-----BEGIN RSA PRIVATE KEY-----")]
+    for token in ("AKIA" + "A1B2C3D4E5F6G7H8", "ghp_" + "a1B2" * 9, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"):
+        assert kinds(f"see {token} there") == [("secret", token)] and not kinds(f"see x{token} there")
+    for long in ("eyJ" * 100000, "token=" * 50000, "-----BEGIN " * 30000, "ghp_" * 50000):  # linear time
+        pii.find(long)
+
+
 # Mixing
 
 
