@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -9,8 +10,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the formats.
@@ -70,30 +72,121 @@ def load_dictionary(data: bytes | memoryview) -> tuple[zstandard.ZstdCompression
     return zstandard.ZstdCompressionDict(raw), end
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(dict):
+    """Header values by name; case does not count."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: str) -> bool:
+        return super().__contains__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def _headers(lines: list[bytes]) -> Headers:
+    """Headers of a record or of HTTP; a line that begins with a blank goes on with the one before; a repeated name keeps its first value."""
+    out, name = Headers(), None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] = f"{out[name]} {line.strip().decode('utf-8', 'replace')}"
+            continue
+        key, colon, value = line.partition(b":")
+        if not colon or not key.strip():
+            raise WarcError(f"broken header {line[:80]!r}")
+        name = key.strip().decode("utf-8", "replace")
+        if name not in out:
+            out[name] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def digest_holds(said: str, *candidates: bytes) -> bool:
+    """Whether a labelled digest (any algorithm of hashlib; base 16, 32 or 64) is that of one of the candidates; unknown algorithms are not judged."""
+    label, _, value = said.partition(":")
+    label = label.lower().replace("-", "")
+    if label not in hashlib.algorithms_guaranteed or label.startswith("shake"):
+        return True
+    value = value.strip().rstrip("=")
+    for data in candidates:
+        raw = hashlib.new(label, data).digest()
+        if value.lower() == raw.hex() or value.upper() == base64.b32encode(raw).decode().rstrip("=") or value in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("=")):
+            return True
+    return False
+
+
+def parse(record: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record; checks the version, required headers, lengths and block digest."""
     head, gap, rest = record.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not gap or not lines[0].startswith(b"WARC/1."):
+    if not gap or not lines[0].startswith((b"WARC/1.", b"WARC/0.")):
         raise WarcError("a record begins with its version and ends its headers by an empty line")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
-            raise WarcError(f"broken header {line[:80]!r}")
-        headers[name.decode()] = value.strip().decode()
+    headers = _headers(lines[1:])
     if missing := [x for x in REQUIRED if x not in headers]:
         raise WarcError(f"missing headers {missing}")
     length = headers["Content-Length"]
     if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length {length} but {len(rest) - 4} bytes of content")
     block = rest[:-4]
-    if (said := headers.get("WARC-Block-Digest")) and said != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if (said := headers.get("WARC-Block-Digest")) and not digest_holds(said, block):
         raise WarcError("the block does not match its digest")
     return headers, block
 
 
-def records(data: bytes | memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def unchunk(body: bytes) -> bytes:
+    """The content of a body in HTTP's chunked transfer coding (extensions and trailers are dropped)."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            raise WarcError("broken chunked body")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if len(body) < end + 2 + n + 2 or body[end + 2 + n : end + 4 + n] != b"\r\n":
+            raise WarcError("broken chunked body")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def payload_of(headers: Headers, block: bytes) -> tuple[bytes | None, int | None]:
+    """A record's payload (None for a revisit) and its full length, if known.
+
+    Of HTTP messages it is the body, without chunked transfer coding; of all other records the block. Lengths that HTTP
+    states and payload digests are checked, unless the record says that it was truncated. A digest may be of the
+    body as it was sent or without its transfer coding: both are in use.
+    """
+    kind, truncated = headers["WARC-Type"].lower(), "WARC-Truncated" in headers
+    said, body, sent, length = headers.get("WARC-Payload-Digest"), block, block, None
+    if headers.get("Content-Type", "").lower().startswith("application/http") or (kind == "revisit" and block.startswith(b"HTTP/")):
+        head, gap, body = block.partition(b"\r\n\r\n")
+        http = _headers(head.split(b"\r\n")[1:])
+        if not gap and kind != "revisit":
+            raise WarcError("no end of the HTTP headers")
+        sent, length = body, http.get("Content-Length")
+        length = int(length) if length and length.isdigit() else None
+        if kind == "revisit":
+            return None, length
+        if "chunked" in http.get("Transfer-Encoding", "").lower():
+            try:
+                body, length = unchunk(body), None
+            except WarcError:  # some crawlers store the body without its coding
+                if not truncated and not (said and digest_holds(said, sent)):
+                    raise
+        elif length is not None and length != len(body) and not truncated:
+            raise WarcError(f"HTTP Content-Length {length} but {len(body)} bytes of payload")
+    elif kind == "revisit":
+        return None, None
+    if said and not truncated and not digest_holds(said, body, sent):
+        raise WarcError("the payload does not match its digest")
+    return body, len(body)
+
+
+def records(data: bytes | memoryview) -> Iterator[tuple[int, Headers, bytes]]:
     """Offset, headers and block of every record of an archive, one frame at a time."""
     dictionary, at = load_dictionary(data)
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
@@ -198,35 +291,76 @@ READ = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("record_typ
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (columns archive and content, as from write() or the binaryFile source).
 
-    A response's payload is checked against its digest; a revisit has no payload, and its length and
-    digest are those it states for the full one. A broken archive fails the read and names the place.
+    Records of all types are read, of this module's archives and of others (header names in any case, digests of any
+    usual algorithm and base, chunked bodies). payload_digest is the payload's SHA-256 in hex; a revisit has no payload,
+    and its length and digest are those it states for the full one (a digest of another algorithm as it stands, with its
+    label). payload holds responses, resources and conversions. A broken archive fails the read and names the
+    place; null contents are skipped; an empty table gives no rows; further columns are ignored.
     """
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
+                if not content.is_valid:
+                    continue
                 for at, head, block in records(memoryview(content.as_buffer())):
-                    http, gap, payload = block.partition(b"\r\n\r\n")
-                    said = re.search(rb"(?im)^content-length: *([0-9]+)\r?$", http)
-                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-                    kind = head["WARC-Type"]
-                    if not gap or not said:
-                        raise WarcError(f"{name}, byte {at}: no HTTP headers with a length")
-                    if kind == "response" and (len(payload) != int(said[1]) or hashlib.sha256(payload).hexdigest() != digest):
-                        raise WarcError(f"{name}, byte {at}: the payload does not match its length or digest")
-                    rows.append((name.as_py(), at, kind, head["WARC-Record-ID"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), int(said[1]), digest, payload if payloads and kind == "response" else None))
-                    size += len(payload)
+                    try:
+                        payload, length = payload_of(head, block)
+                    except WarcError as e:
+                        raise WarcError(f"{name}, byte {at}: {e}") from None
+                    kind, digest = head["WARC-Type"], head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+                    if payload is not None:
+                        digest = hashlib.sha256(payload).hexdigest()
+                    held = payload if payloads and kind in ("response", "resource", "conversion") else None
+                    rows.append((name.as_py(), at, kind, head["WARC-Record-ID"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), length, digest, held))
+                    size += len(block)
                     if size >= ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+                    yield batch_of(rows)
 
     schema = "archive string, offset bigint, record_type string, record_id string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, payload binary"
     return archives.select("archive", "content").mapInArrow(run, schema)
 
 
+def save(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes the archives (archive, content) as files of a folder and gives archive, n_bytes and sha256 of each.
+
+    Executors write through pyarrow's file systems (file, hdfs, s3, gs): each file under a name of its own attempt, then
+    renamed, so that a task that is run again after a loss replaces its files by equal ones and readers see whole files
+    only. What was written is itself kept as a table in the folder's _written.
+    """
+    spark = archives.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_py()
+                beside = f"{root}/_{name}.{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(beside) as stream:
+                    stream.write(data)
+                system.move(beside, f"{root}/{name}")
+                out.append((name.as_py(), len(data), hashlib.sha256(data).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.string())], ["archive", "n_bytes", "sha256"])
+
+    schema = "archive string, n_bytes bigint, sha256 string"
+    archives.select("archive", "content").mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/_written")
+    return spark.read.schema(schema).parquet(f"{folder}/_written")
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """archive and content of the .warc.zst files of a folder, for read(). A file is one row, of at most 2 GB."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.col("path").alias("archive"), "content")
+
+
 def page_of(record_id: str) -> F.Column:
     """The page id in a record id; null for a page without one."""
     return F.regexp_extract(record_id, _RECORD_ID.pattern, 1).try_cast("bigint")

@@ -1,5 +1,6 @@
 """Small fixtures for every operator: brute-force versions, round trips, and nulls, empty texts, ties and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -96,6 +97,60 @@ def test_broken_archives():
             list(warc.records(data))
 
 
+def record(kind, block, *headers, version="WARC/1.0", digest=True):
+    lines = [version, f"warc-type: {kind}", "WARC-RECORD-ID: <urn:uuid:1>", "Warc-Date: 2020-01-01T00:00:00Z", *headers]
+    if digest:
+        lines.append("WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode())
+    return "\r\n".join([*lines, f"content-length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    """A hand-made archive: all record types, header names in other cases, SHA-1 in base 32, folded headers, chunked bodies, no lengths."""
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    body = "grüße".encode()
+    chunked = b"3;x=y\r\n" + body[:3] + b"\r\n" + f"{len(body) - 3:X}".encode() + b"\r\n" + body[3:] + b"\r\n0\r\nT: r\r\n\r\n"
+    http = "Content-Type: application/http;msgtype=response"
+    made = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", digest=False),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n" + chunked, http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: {sha1(body)}"),
+        record("response", b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n" + chunked, http, f"warc-payload-digest: {sha1(chunked)}"),
+        record("response", b"HTTP/1.1 200 OK\r\nX: a\r\n b\r\n\r\n" + body, http, f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}"),
+        record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 999\r\n\r\n" + body, http, "WARC-Truncated: length"),
+        record("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n", http, f"WARC-Payload-Digest: {sha1(body)}", "WARC-Refers-To: <urn:uuid:0>"),
+        record("revisit", b"", f"WARC-Payload-Digest: {sha1(body)}"),
+        record("resource", body, "Content-Type: text/plain"),
+        record("metadata", b"via: x\r\n", "Content-Type: application/warc-fields", "WARC-Payload-Digest: odd:zz", version="WARC/1.1"),
+    ]
+    data = b"".join(zstandard.ZstdCompressor().compress(x) for x in made)
+    rows = warc.read(spark.createDataFrame([("a", bytearray(data)), ("none", None)], "archive string, content binary")).orderBy("offset").collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "response", "response", "response", "revisit", "revisit", "resource", "metadata"]
+    assert [bytes(r.payload) if r.payload is not None else None for r in rows] == [None, None, body, body, body, body, None, None, body, None]
+    assert {r.payload_digest for r in rows[2:6]} == {hashlib.sha256(body).hexdigest()} and [r.payload_bytes for r in rows[5:8]] == [len(body), 7, None]
+    assert rows[6].payload_digest == sha1(body) and rows[6].refers_to == "<urn:uuid:0>" and rows[2].target_uri == "http://a/"
+    bad = [
+        record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nshort", http),
+        record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab", http),
+        record("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, f"WARC-Payload-Digest: {sha1(body)}"),
+        record("resource", body).replace(b"sha1:", b"sha1:A"),
+    ]
+    for x in bad:
+        with pytest.raises(warc.WarcError):
+            for _, head, block in warc.records(zstandard.ZstdCompressor().compress(x)):
+                warc.payload_of(head, block)
+
+
+def test_archives_as_files(spark, tmp_path):
+    rng, folder = random.Random(7), f"file://{tmp_path}/out"
+    pages = spark.createDataFrame([(i, "u", f"<html>{prose(rng, 60)}</html>") for i in range(90)], PAGES)
+    written = warc.save(warc.pack(pages.repartition(3)), folder).collect()
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out").glob("*.warc.zst")}
+    assert files and {(r.archive, r.n_bytes, r.sha256) for r in written} == {(n, len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items()}
+    back = warc.read(warc.load(spark, folder)).select("record_id", "payload").collect()
+    want = {f"<urn:page:{r.page_id}>": r.html.encode() for r in pages.collect()}
+    assert {r.record_id: bytes(r.payload) for r in back} == want and len(back) == 90
+
+
 # Line dedup
 
 
