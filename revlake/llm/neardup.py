@@ -19,6 +19,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 #: A leader's text is sent once for this many of the texts that it is compared with.
 FELLOWS = 256
+#: Bits of the parity sketch of a text's shingles, as 64-bit words, and rows of a lookup table (about 100 bytes each) that is broadcast.
+WORDS, FEW = 32, 500_000
 #: Slack of the bounds for sums in another order.
 SLACK = 1e-4
 #: Document frequencies of words are counted in this many cells, whatever the corpus's size.
@@ -150,17 +152,27 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
     texts = _candidates(work, docs.withColumn("digest", digest), nodes, members)
-    facts = work.keep(nodes.select("node", "total").join(alone(texts, idf), "node"), "facts")
+    facts = work.keep(nodes.select("node", "total", "keys").join(alone(texts, idf), "node"), "facts")
     hopeful = facts.where(F.col("alone") <= (1 - threshold) * F.col("total") + SLACK * F.col("total"))
     members = work.keep(members.join(hopeful.select("node"), "node").select("bucket", "node"), "members")
 
+    def bound(other: str) -> Column:
+        """False only below the threshold: by the weight that each has alone, and by shingles that only one of the two has."""
+        both = F.least(F.col("total") - F.col("alone"), F.col(f"{other}total") - F.col(f"{other}alone"))
+        whole = F.col("total") + F.col(f"{other}total")
+        apart = sum((F.bit_count(F.col(f"k{w}").bitwiseXOR(F.col(f"{other}k{w}"))) for w in range(WORDS)), F.lit(0)) * F.least("lightest", F.col(f"{other}lightest"))
+        return (both >= (threshold - SLACK) * (whole - both)) & (apart * (1 + threshold) <= whole * (1 - threshold) * (1 + SLACK))
+
     def possible(leader: str) -> Column:
-        both = F.least(F.col("total") - F.col("alone"), F.col(f"{leader}total") - F.col(f"{leader}alone"))
-        return both >= (threshold - SLACK) * (F.col("total") + F.col(f"{leader}total") - both)
+        """bound, and that this is the first of the buckets that the two share."""
+        at = F.array_position(F.zip_with("keys", f"{leader}keys", lambda x, y: x == y), F.lit(True)).cast("int")
+        return bound(leader) & (F.col("bucket") == F.xxhash64(at - 1, F.element_at("keys", at)))
+
+    measures = ["total", "alone", "lightest", *(f"k{w}" for w in range(WORDS))]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s, prefix: facts.select(F.col("node").alias(s), F.col("total").alias(f"{prefix}total"), F.col("alone").alias(f"{prefix}alone"))
-        pairs = work.keep(pairs.join(side("b", ""), "b").join(side("a", "lead_"), "a").where(possible("lead_")).select("a", "b"), f"near-{next(rounds)}")
+        side = lambda s, prefix: facts.select(F.col("node").alias(s), *(F.col(c).alias(f"{prefix}{c}") for c in measures))
+        pairs = work.keep(pairs.join(side("b", ""), "b").join(side("a", "lead_"), "a").where(bound("lead_")).select("a", "b"), f"near-{next(rounds)}")
         crowds = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FELLOWS).cast("int").alias("seats"))
         seated = pairs.join(crowds, "a").withColumn("seat", F.pmod(F.xxhash64("b"), F.col("seats")).cast("int"))
         text_a = texts.join(crowds, F.expr("node = a")).select("a", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)).alias("seat"), F.col("text").alias("text_a"))
@@ -196,12 +208,22 @@ def _candidates(work: Workspace, docs: DataFrame, nodes: DataFrame, members: Dat
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     used = members.join(shared, "bucket").select("node").distinct()
     used = work.keep(nodes.join(used, "node").select("node", F.col("digest").alias("d"), "first"), "used")
-    texts = docs.join(used, F.expr("digest = d AND doc_id <=> first")).select("node", "text")
+    few = used.count() <= FEW  # then texts are found where they are read, else by a shuffle
+    texts = docs.join(F.broadcast(used) if few else used, F.expr("digest = d AND doc_id <=> first")).select("node", "text")
     return work.keep(texts.dropDuplicates(["node"]), "texts")
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of the hashes falls in cell i of 64 * WORDS.
+
+    Two sets' sketches differ in at most as many bits as there are members of only one of them.
+    """
+    cells = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def alone(texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """node and alone, the weight of the shingles that no other candidate has, for every candidate.
+    """node, alone (the weight of the shingles that no other candidate has), the lightest weight, and the parity sketch of every candidate.
 
     A text of which more than 1 - threshold is alone is similar to none: heavily edited copies and texts with a common
     passage are told apart by one count of the candidates' shingles, however many share a bucket.
@@ -214,10 +236,18 @@ def alone(texts: DataFrame, idf: Broadcast) -> DataFrame:
                 columns = [pa.array(np.full(len(hashes), node.as_py(), np.int64)), pa.array(hashes.view(np.int64)), pa.array(weight.astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "shingle", "weight"])
 
+    def sketches(batches):
+        for batch in batches:
+            weighed = [weigh(t.as_py(), idf.value) for t in batch.column(1)]
+            bits = np.array([parity(h) for h, _ in weighed], np.int64).reshape(-1, WORDS)
+            lightest = pa.array([float(w.min(initial=np.inf)) for _, w in weighed], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lightest, *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(WORDS))], ["node", "lightest", *(f"k{w}" for w in range(WORDS))])
+
     every = texts.mapInArrow(weights, "node bigint, shingle bigint, weight double")
     once = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
     found = once.groupBy("node").agg(F.sum("weight").alias("alone"))
-    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+    known = texts.mapInArrow(sketches, f"node bigint, lightest double, {', '.join(f'k{w} bigint' for w in range(WORDS))}")
+    return known.join(found, "node", "left").select(*known.columns, F.coalesce("alone", F.lit(0.0)).alias("alone"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:

@@ -685,6 +685,15 @@ def test_bounds_rule_out_no_similar_texts(spark):
     assert 10 < ruled_out < 40
 
 
+def test_parity_sketches_bound_differences():
+    rng = np.random.default_rng(9)
+    for n, edits in ((3, 1), (100, 20), (5000, 700)):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[edits:], rng.integers(0, 2**63, edits, dtype=np.uint64)])
+        bits = lambda x: np.unpackbits(neardup.parity(x).view(np.uint8))
+        assert 0 < (bits(a) != bits(b)).sum() <= 2 * edits and (bits(a) == bits(rng.permutation(a))).all()
+
+
 def test_hot_group_of_copies_and_a_common_passage(spark, monkeypatch):
     """Classes equal those of all pairs where one group is large, its leader's text is sent to several seats, and a passage is common."""
     monkeypatch.setattr(neardup, "FELLOWS", 3)
