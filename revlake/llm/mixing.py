@@ -12,8 +12,9 @@ from revlake.llm.common import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, repeating; words in the mix per word of input; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: Tokens of a block; a source has FINE blocks at least, so that small sources also come near their target.
-BLOCK, FINE = 64, 256
+#: A source has about this many equal blocks, or one for each word if it has fewer: a target is met to this part of the source, and
+#: the schedule's length follows the number of sources, not the corpus.
+BLOCKS = 1 << 16
 #: Slots and documents are ranked in pieces of about this many rows, whose sums are then added up.
 SLOT_PIECE, DOC_PIECE = 4096, 128
 _GOLDEN = (5**0.5 - 1) / 2
@@ -42,7 +43,7 @@ def sources(sized: DataFrame) -> DataFrame:
     rest = rest.withColumn("level", F.when(level <= F.col("ratio"), level))
     level = F.max("level").over(Window.partitionBy())
     target = F.least(F.coalesce(level * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double"))
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"source_size div {FINE}"))).cast("bigint")
+    block = F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCKS)).cast("bigint")
     return (
         rest.withColumn("target", target)
         .withColumn("block", block)
@@ -86,20 +87,25 @@ def schedule(spark: SparkSession, by_source: DataFrame, cells: int, slots: int)
 def mix(docs: DataFrame, *keep: str, seed: int = 0) -> DataFrame:
     """Words that the mix takes of each document: doc_id, the columns in keep, size, source_size, target, taken.
 
-    Each source's documents, in an order set by a hash of the id and the seed, are cut into blocks of
+    Each source's documents, in an order set by a hash of the id, the text and the seed, are cut into blocks of
     equal token counts (the last one shorter). Slot number r of a source takes its block r modulo the
     number of blocks, in at most PASSES passes, so that no document gives more than PASSES times its size.
 
     A null text has size 0; null sources form one source, ranked last; repeated rows and equal ids
-    are documents of their own; documents without words take 0; an empty table gives no rows; other
-    columns are ignored. Reruns agree.
+    are documents of their own; documents without words take 0; an empty table gives no rows; columns in keep pass
+    through, but those named as one of the result's own are left out; other columns are ignored. Reruns agree,
+    however the rows are dealt out.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
+    keep = [k for k in keep if k.lower() not in ("doc_id", "size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select("doc_id", *keep, F.col("source").alias("_source"), size.alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("_order"))
-    sized = work.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "sized")
-    named = sized.select(F.col("_source").alias("source"), "size", "doc_id", "_order", "_row")
+    kept = [F.col(k).alias(f"kept{i}") for i, k in enumerate(keep)]
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull(), F.lit(seed))
+    rows = docs.select("doc_id", *kept, F.col("source"), size.alias("size"), text.alias("content"))
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "content")).withColumn("row", F.monotonically_increasing_id())
+    sized = work.keep(rows, "sized")
+    named = sized.select("source", "size", "doc_id", "order", "content", "row")
     by_source = work.keep(sources(named).coalesce(1), "sources")
     total = by_source.agg(F.count(F.lit(1)), F.sum("slots"), F.sum("source_size")).first()
     n_docs = named.count()
@@ -108,15 +114,16 @@ def mix(docs: DataFrame, *keep: str, seed: int = 0) -> DataFrame:
         takes = schedule(spark, by_source, cells, slots).join(by_source.select("sid", "blocks"), "sid")
         takes = takes.where(F.col("rank") < PASSES * F.col("blocks")).groupBy("sid", (F.col("rank") % F.col("blocks")).alias("at")).agg(F.count(F.lit(1)).alias("times"))
         pieces = min(1 << 16, max(1, n_docs // DOC_PIECE))
-        placed = named.where("size > 0").join(by_source, named.source.eqNullSafe(by_source.source)).select("_row", "doc_id", "_order", "size", "sid", "block", F.pmod(F.xxhash64("_order"), F.lit(pieces)).alias("piece"))
-        inside = Window.partitionBy("sid", "piece").orderBy("_order", "doc_id", "size", "_row")
+        placed = named.where("size > 0").join(by_source, named.source.eqNullSafe(by_source.source)).select("row", "doc_id", "order", "content", "size", "sid", "block", F.pmod(F.xxhash64("order"), F.lit(pieces)).alias("piece"))
+        inside = Window.partitionBy("sid", "piece").orderBy("order", "doc_id", "content", "row")  # rows that tie before the last are equal
         placed = placed.withColumn("end", F.sum("size").over(inside)).join(_prefix(placed, "sid", "piece", F.sum("size"), "before"), ["sid", "piece"])
         placed = placed.withColumn("end", F.col("before") + F.col("end")).withColumn("start", F.col("end") - F.col("size"))
-        parts = placed.select("_row", "sid", "block", "start", "end", F.explode(F.expr("sequence(start div block, (end - 1) div block)")).alias("at"))
+        parts = placed.select("row", "sid", "block", "start", "end", F.explode(F.expr("sequence(start div block, (end - 1) div block)")).alias("at"))
         words = F.least("end", (F.col("at") + 1) * F.col("block")) - F.greatest("start", F.col("at") * F.col("block"))
-        taken = parts.join(takes, ["sid", "at"]).groupBy("_row").agg(F.sum(words * F.col("times")).alias("taken"))
-        found = sized.join(taken, "_row", "left")
+        taken = parts.join(takes, ["sid", "at"]).groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
+        found = sized.join(taken, "row", "left")
     else:
         found = sized.withColumn("taken", F.lit(None).cast("bigint"))
-    facts = by_source.select("source", "source_size", "target")
-    return found.join(facts, found["_source"].eqNullSafe(facts["source"])).select("doc_id", *(found[k] for k in keep), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    facts = by_source.select(F.col("source").alias("name"), "source_size", "target")
+    result = found.join(facts, found["source"].eqNullSafe(facts["name"]))
+    return result.select("doc_id", *(F.col(f"kept{i}").alias(k) for i, k in enumerate(keep)), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
