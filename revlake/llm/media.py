@@ -82,7 +82,8 @@ def _facts(key: bytes, listed: bytes, have: dict[bytes, bytes]) -> tuple:
     n_bytes, payload, sizes = rebuild(listed, have)
     used = int(np.count_nonzero(np.bincount(np.frombuffer(payload, np.uint8), minlength=256)))
     feature = f"chunks={len(sizes)} distinct={len(have)} shortest={min(sizes)} longest={max(sizes)} byte_values={used}"
-    stored = listed + payload
+    parts = dict.fromkeys(digest for digest, _ in read_recipe(listed)[1])
+    stored = listed + b"".join(have[d] for d in parts)  # what the store holds for it: the list, and each of its chunks once
     return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
@@ -190,6 +191,8 @@ def read(packs: DataFrame, shared: DataFrame) -> DataFrame:
 def columns(docs: DataFrame) -> DataFrame:
     """doc_id and the facts of its stored payload, read back; equal texts have equal values.
 
+    The stored form is the chunk list followed by every chunk in it once, in the list's order, as the tables hold them.
+
     A null text counts as empty, and an empty payload is one unit of zeros; null ids and repeated rows
     each keep their row; an empty table gives none; further columns are ignored.
     """
