@@ -38,7 +38,8 @@ class Workspace:
     """Intermediate Parquet tables under the shared folder.
 
     A written table cuts lineage, survives the loss of any executor (Spark's commit protocol
-    publishes whole task outputs only) and is compressed, unlike checkpoint files.
+    publishes whole task outputs only) and is compressed, unlike checkpoint files. Tables that a lazy
+    result still reads are deleted when the session's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,6 +49,8 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of the finished step
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import Workspace
+from revlake.llm.common import Workspace, fresh
 from revlake.llm.hashing import MARKS, mix, shingles, words
 
 #: Words of a seed. One shared seed makes a passage a candidate, however common the seed is.
@@ -165,6 +165,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of the documents without a copy of any item, decided by id and text; rows with null ids stay."""
-    bad = _copies(docs, benchmark, THRESHOLD).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
-    return docs.withColumn("_digest", _digest()).join(bad, F.expr("cast(doc_id AS bigint) = _id AND _digest = _d"), "left_anti").drop("_digest")
+    """The rows and columns of the documents whose text has no copy of any item, decided by the text, whatever the id.
+
+    Null texts count as empty and stay; rows with null or shared ids go only if their own text has a copy; repeated
+    rows go or stay together; empty tables change nothing; columns of any name pass through.
+    """
+    key, of = fresh(docs.columns, "key", "of")
+    bad = _copies(docs, benchmark, THRESHOLD).select(F.col("digest").alias(of)).distinct()
+    return docs.withColumn(key, _digest()).join(bad, F.col(key) == F.col(of), "left_anti").drop(key)
