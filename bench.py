@@ -30,6 +30,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from revlake.operators import compact, validate, visibility
     from revlake.operators.ranges import KeyRange
+    from revlake.operators.txn import Condition, Operation, Transaction
     from revlake.plans.logs import events_log, orders_log, top_revision
     from revlake.plans.registry import QUERIES, _folder
     from revlake.session import reach
@@ -63,11 +64,20 @@ def main() -> None:
             best.append(time.perf_counter() - began)
         times[name] = round(min(best[1:]), 4)
     root = _folder(spark)
+
+    def ask(store: Store) -> None:
+        """1,000 keys of a store of several segments."""
+        with store.read_view() as view:
+            view.multi_get(keys).write.format("noop").mode("overwrite").save()
+
     with Store.open(spark, f"{root}/live") as store:
         for name, act in (
             ("batch_apply", lambda: store.apply(orders)),
             ("store_scan", lambda: store.scan().write.format("noop").mode("overwrite").save()),
             ("store_get", lambda: store.get("cust/00000042")),
+            ("transact", lambda: store.transact(Transaction([Operation.put("bench/1", "x")], [Condition.missing("bench/1"), Condition.exists("bench/none")]))),
+            ("put", lambda: store.put("bench/2", "x")),
+            ("multi_get_segments", lambda: ask(store)),
             ("checkpoint", lambda: store.checkpoint(f"{root}/copy")),
             ("restore", lambda: store.restore(f"{root}/copy")),
             ("store_compact", store.compact),

@@ -211,15 +211,6 @@ def compact_preserves_views(spark: SparkSession, sf: str) -> DataFrame:
     return shown(old.unionByName(visibility.visible(kept).withColumn("at", F.lit("end"))))
 
 
-@query
-def key_order_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys in byte order: the hex of each and of the one before it with the same first byte."""
-    rows = table(spark, sf, "documents").select(F.encode(F.substring("text", 1, 12), "UTF-8").alias("key"), (F.col("doc_id") + 1).alias("revision"), F.col("lang").alias("v"))
-    best = rows.groupBy("key").agg(F.max_by(F.struct("revision", "v"), "revision").alias("e"))
-    before = F.lag("key").over(visibility.Window.partitionBy(F.substring("key", 1, 1)).orderBy("key"))
-    return best.select(F.hex("key").alias("k"), "e.revision", "e.v", F.hex(before).alias("before"))
-
-
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
@@ -245,6 +236,9 @@ def key_order_whole(spark: SparkSession, sf: str) -> DataFrame:
     return slots.join(offsets, "range").select("k", "revision", "v", place.alias("place"))
 
 
+QUERIES["key_order_bytes"] = key_order_whole
+
+
 @query
 def checkpoint_restore(spark: SparkSession, sf: str) -> DataFrame:
     """A store takes half of the log, is checkpointed, takes the rest, and is restored."""
