@@ -196,6 +196,19 @@ def test_bands_of_lines_miss_few_pairs():
     assert (1 - linededup.THRESHOLD**linededup.ROWS) ** linededup.BANDS < 0.004
 
 
+def test_measured_recall_of_bands():
+    """With the masks as they are, for short and long lines at a similarity of exactly 0.8."""
+    masks, rng = np.array(linededup._MASKS, np.int64).astype(np.int32), np.random.default_rng(1)
+    for union, least in ((10, 0.97), (20, 0.97), (40, 0.985), (200, 0.99)):
+        hits = 0
+        for _ in range(1500):
+            h = rng.integers(-(2**31), 2**31, union).astype(np.int32)
+            both, half = union * 4 // 5, union // 10
+            a, b = ((np.r_[h[:both], x][:, None] ^ masks).min(0) for x in (h[both : both + half], h[both + half :]))
+            hits += (a == b).reshape(linededup.BANDS, linededup.ROWS).all(1).any()
+        assert hits / 1500 >= least
+
+
 def test_lines_of_other_scripts_are_linked(spark):
     """MinHash and banding find nearly every pair of edited lines whose letters take two, three or four bytes."""
     rng, rows = random.Random(31), []
