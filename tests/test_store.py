@@ -9,6 +9,7 @@ from revlake.operators.compact import Policy
 from revlake.operators.ranges import KeyRange
 from revlake.operators.txn import Condition, Operation, Transaction
 from revlake.plans.schema import LOG
+from revlake.sources.files import Files
 from revlake.sources.store import LOCAL, Store
 from revlake.streaming.ingest import ingest
 
@@ -184,6 +185,25 @@ def test_keys_read_only_the_files_they_can_be_in(spark, tmp_path):
             assert view.multi_get([]).count() == 0 == view.multi_get(spark.createDataFrame([], "key binary")).count()
 
 
+def test_checkpoints_are_copies_or_written_anew(spark, tmp_path, monkeypatch):
+    """Copied files keep size, rows and fingerprint; without a file system on executors the entries are the same."""
+    for how in ("copied", "anew"):
+        if how == "anew":
+            monkeypatch.setattr(Files, "portable", lambda self, path: None)
+        with Store.open(spark, str(tmp_path / how)) as s:
+            two_versions(spark, s)
+            copy = s.checkpoint(str(tmp_path / f"{how}-copy"))
+            facts = lambda m: sorted((x.level, x.size, x.rows, x.fingerprint) for x in m.segments)
+            said = Store.read_checkpoint(spark, copy)
+            assert (facts(said) == facts(s.manifest)) == (how == "copied")
+            with Store.from_checkpoint(spark, copy, str(tmp_path / f"{how}-new")) as t:
+                assert content(t.scan()) == content(s.scan()) and sum(x.rows for x in t.manifest.segments) == 6
+                assert (facts(t.manifest) == facts(said)) or how == "anew"
+                t.put("b", "x")
+            with Store.open(spark, str(tmp_path / f"{how}-new")) as t:
+                assert content(t.scan())["b"] == ("x", 4)
+
+
 def test_counters(spark, tmp_path):
     with Store.open(spark, str(tmp_path / "s")) as s:
         two_versions(spark, s)
