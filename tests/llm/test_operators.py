@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -209,6 +210,68 @@ def test_measured_recall_of_bands():
         assert hits / 1500 >= least
 
 
+def test_agreement_of_minima_loses_next_to_nothing():
+    """Of the pairs at a similarity of exactly 0.8 that share a band, nearly all share enough minima; of pairs at 0.1, very few do."""
+    masks, rng = np.array(linededup._MASKS, np.int64).astype(np.int32), np.random.default_rng(2)
+
+    def agreements(union, both):
+        h, half = rng.integers(-(2**31), 2**31, union).astype(np.int32), (union - both) // 2
+        a, b = ((np.r_[h[:both], x][:, None] ^ masks).min(0) for x in (h[both : both + half], h[both + half :]))
+        few = min(len(set((x ^ masks) & (1 << linededup.BITS) - 1)) for x in (a, b)) < linededup.VARIED
+        return (a == b).reshape(linededup.BANDS, linededup.ROWS).all(1).any(), few or ((a ^ b)[linededup.SEEN] & 3 == 0).sum() >= linededup.AGREE
+
+    for union in (10, 20, 40, 60, 100, 600):
+        found = [agreements(union, union * 4 // 5) for _ in range(3000)]
+        assert sum(band and not enough for band, enough in found) <= 6, union  # 0.2 %
+    assert sum(agreements(1000, 100)[1] for _ in range(3000)) <= 15
+
+
+def test_agreement_as_a_column(spark):
+    rng = random.Random(3)
+    rows = [[[rng.getrandbits(64) - 2**63 for _ in range(linededup.BANDS)] for _ in range(2)] for _ in range(60)]
+    for i, (a, b) in enumerate(rows):
+        b[: i // 5] = a[: i // 5]
+    two = lambda bands: [bands[i // linededup.ROWS] >> (linededup.BITS * (i % linededup.ROWS)) & 3 for i in linededup.SEEN]
+    rows.append([[0] * linededup.BANDS, rows[0][0]])  # a line of few shingles goes with all others
+    low = lambda bands: {(bands[i // linededup.ROWS] >> linededup.BITS * (i % linededup.ROWS) ^ m) & 65535 for i, m in enumerate(linededup._MASKS)}
+    rows[-1][0] = [sum(((5 ^ m) & 65535) << 16 * r for r, m in enumerate(linededup._MASKS[4 * b : 4 * b + 4])) for b in range(linededup.BANDS)]
+    rows[-1][0] = [x - 2**64 if x >= 2**63 else x for x in rows[-1][0]]
+    assert len(low(rows[-1][0])) == 1
+    want = [sum(x == y for x, y in zip(two(a), two(b), strict=True)) >= linededup.AGREE for a, b in rows[:-1]] + [True]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<bigint>, b array<bigint>")
+    seen = df.selectExpr("i", "a AS bands", "b").withColumn("x", linededup._seen()).selectExpr("i", "x", "b AS bands").withColumn("y", linededup._seen())
+    assert [r.ok for r in seen.select("i", linededup.agree("x", "y").alias("ok")).sort("i").collect()] == want and len(set(want)) == 2
+
+
+def test_unlike_lines_of_one_bucket_are_not_verified(spark):
+    """Lines that share buckets by chance give no rows for verification; one round does for buckets of ordinary size."""
+    from revlake.llm.common import Workspace
+
+    members = spark.range(60).selectExpr("id % 2 AS bucket", "id AS node", "id DIV 4 AS seen")
+    seen = []
+
+    def verify(pairs):
+        seen.append(sorted((r.a, r.b) for r in pairs.collect()))
+        return pairs
+
+    same = lambda to: linededup.F.col("seen") == linededup.F.col(f"{to}seen")
+    labels = clusters.classes(Workspace(spark, "t"), members, verify, facts=members.select("node", "seen").distinct(), possible=same, small=32)
+    assert seen == [sorted((4 * k + o, 4 * k + o + 2) for k in range(15) for o in range(2))]
+    assert {r.node: r.root for r in labels.collect()} == {n: n - n % 4 + n % 2 for n in range(60)}
+    seen.clear()
+    labels = clusters.classes(Workspace(spark, "t"), members, verify, facts=members.select("node", "seen").distinct(), possible=same, small=8)  # larger buckets: by leaders
+    assert {r.node: r.root for r in labels.collect()} == {n: n - n % 4 + n % 2 for n in range(60)}
+
+
+def test_line_dedup_leaves_one_table(spark):
+    """What a pipeline's later stages do not read is gone before they begin."""
+    from revlake.llm.common import shared_dir
+
+    before = set(Path(shared_dir(spark)).glob("lines-*/*"))
+    linededup.dedupe(frame(spark, [(1, "one and the same line"), (2, "one and the same line\nmore")])).collect()
+    assert [p.name for p in set(Path(shared_dir(spark)).glob("lines-*/*")) - before] == ["lost"]
+
+
 def test_lines_of_other_scripts_are_linked(spark):
     """MinHash and banding find nearly every pair of edited lines whose letters take two, three or four bytes."""
     rng, rows = random.Random(31), []
