@@ -263,6 +263,48 @@ def test_unlike_lines_of_one_bucket_are_not_verified(spark):
     assert {r.node: r.root for r in labels.collect()} == {n: n - n % 4 + n % 2 for n in range(60)}
 
 
+def test_outsiders_of_a_crowd_are_ruled_out_before_their_lines_move(spark, monkeypatch):
+    """Lines that resemble a large group without being links are not paired with all of it, and no link is lost, also where leaders gather first."""
+    keep, rng, rows = Workspace.keep, random.Random(37), []
+    monkeypatch.setattr(clusters, "MANY", 1000)
+    base = prose(rng, 70)
+    for i in range(150):
+        line = list(base)
+        for at in rng.sample(range(len(line)), 14 if i % 5 == 0 else 2):
+            line[at] = rng.choice("XYZ#@&%")
+        rows.append((i, "".join(line)))
+    seen = {}
+
+    def kept(work, df, name):
+        out = keep(work, df, name)
+        if name.startswith(("pairs-", "met-")):
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", kept)
+    found = {r.doc_id: r.text for r in linededup.dedupe(frame(spark, rows)).collect()}
+    monkeypatch.setattr(linededup, "SHINGLE", linededup.FINE)  # of the brute-force version
+    assert found == brute_lines(rows)
+    assert sum(n for name, n in seen.items() if name != "pairs-0") < 300 and "met-1" in seen, seen
+
+
+def test_minima_and_sets_rule_out_no_links(spark):
+    """Of edited lines, those alike pass both conditions, and unlike ones do not."""
+    F, rng, pairs = linededup.F, random.Random(39), []
+    for n in (4, 12, 60, 300):
+        for share in (0.0, 0.005, 0.01, 0.02, 0.05, 1.0):
+            line = list(prose(rng, n))
+            pairs.append(("".join(line), "".join(rng.choice("xyz") if rng.random() < share else c for c in line)))
+    both = spark.createDataFrame(pairs, "a string, b string")
+    lines = both.selectExpr("stack(2, a, b) AS norm").distinct().withColumn("digest", linededup._digest("norm")).withColumn("id", F.lit(1).cast("bigint"))
+    facts = lines.join(linededup._signatures(lines).drop("id"), "digest").withColumn("seen", linededup._seen()).withColumn("every", linededup.shingles("norm", linededup.FINE))
+    facts = facts.withColumn("sets", F.struct(F.col("every").alias("set"), F.size("every").alias("distinct")))
+    for s in "ab":
+        both = both.join(facts.select(F.col("norm").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("bands", "seen", "sets"))), s)
+    rows = both.select(linededup.alike("a", "b", 0.8).alias("alike"), linededup.share("bands_a", "bands_b", "seen_a", "seen_b").alias("one"), linededup.within("sets_a", "sets_b", 0.8).alias("two")).collect()
+    assert len(rows) == len(pairs) and any(r.alike for r in rows) and all(r.one and r.two for r in rows if r.alike) and not any(r.two for r in rows if not r.alike)
+
+
 def test_line_dedup_leaves_one_table(spark):
     """What a pipeline's later stages do not read is gone before they begin."""
     from revlake.llm.common import shared_dir
