@@ -210,6 +210,61 @@ def test_measured_recall_of_bands():
         assert hits / 1500 >= least
 
 
+def test_keys_find_what_bands_do_and_fewer_unlike_lines():
+    """A pair at 0.8 shares a key about as often as a band, in short lines more often, and an unlike pair not nearly so often."""
+    masks, rng = np.array(linededup._MASKS, np.int64).astype(np.int32), np.random.default_rng(4)
+    assert len(linededup.KEYS + linededup.FEW_KEYS) <= 1 << linededup.KEY_BITS and all(len(set(key)) == 5 for key in linededup.KEYS)
+
+    def shares(union, both, count):
+        keys = bands = 0
+        for _ in range(count):
+            h, half = rng.integers(-(2**31), 2**31, union).astype(np.int32), (union - both) // 2
+            a, b = ((np.r_[h[:both], x][:, None] ^ masks).min(0) for x in (h[both : both + half], h[both + half :]))
+            few, same = all(len(set((x ^ masks) & (1 << linededup.BITS) - 1)) < linededup.VARIED for x in (a, b)), a == b
+            keys += any(same[list(key)].all() for key in linededup.KEYS + (linededup.FEW_KEYS if few else []))
+            bands += same.reshape(linededup.BANDS, linededup.ROWS).all(1).any()
+        return keys / count, bands / count
+
+    for union, least in ((10, 0.98), (20, 0.98), (40, 0.99), (60, 0.99), (100, 0.994), (200, 0.994), (600, 0.993)):
+        keys, bands = shares(union, union * 4 // 5, 1000)
+        assert keys >= max(least, bands - 0.003), (union, keys, bands)
+    keys, bands = shares(300, 60, 5000)
+    assert 3 * keys <= 2 * bands, (keys, bands)
+
+
+def test_a_pair_is_met_in_the_bucket_of_its_first_key(spark):
+    """first() agrees with the buckets that members() deals out, of which each stands for the minima of its key."""
+    F, rng, rows = linededup.F, random.Random(41), []
+    for i in range(40):
+        a = [[rng.getrandbits(16) for _ in range(linededup.ROWS)] for _ in range(linededup.BANDS)]
+        b = [[x if rng.random() < i / 40 else rng.getrandbits(16) for x in band] for band in a]
+        same = [x == y for one, two in zip(a, b, strict=True) for x, y in zip(one, two, strict=True)]
+        word = lambda band: int.from_bytes(sum(x << 16 * r for r, x in enumerate(band)).to_bytes(8, "big"), "big", signed=False)
+        a, b = ([w - 2**64 if (w := word(band)) >> 63 else w for band in bands] for bands in (a, b))
+        rows.append((i, a, b, [n for n, key in enumerate(linededup.KEYS + linededup.FEW_KEYS) if all(same[j] for j in key)], sum(same)))
+    df = spark.createDataFrame([r[:3] for r in rows], "i int, a array<bigint>, b array<bigint>")
+    dealt = lambda s: linededup.members(df.select(F.col("i").alias("node"), F.lit(None).cast("bigint").alias("seen"), F.col(s).alias("bands")))
+    met = dealt("a").join(dealt("b").select("bucket", "node"), ["bucket", "node"]).join(df, F.col("node") == F.col("i"))
+    found = met.select("i", F.col("bucket").bitwiseAND(F.lit((1 << linededup.KEY_BITS) - 1)).alias("key"), linededup.first("bucket", "a", "b").alias("one")).collect()
+    assert sorted((r.i, r.key, r.one) for r in found) == [(i, n, n == keys[0]) for i, _, _, keys, _ in rows for n in keys]
+    shared = df.select("i", F.bit_count(linededup._shared("a", "b")).alias("n")).sort("i").collect()
+    assert [r.n for r in shared] == [r[4] for r in rows]
+
+
+def test_generated_code_of_lines_is_compiled(spark):
+    """The JVM's compiler takes no method of more than 8,000 bytes of code; beyond that, rows cost ten times as much."""
+    lines = frame(spark, [(1, "one line")]).select("doc_id", linededup.F.col("text").alias("norm"))
+    lines = lines.withColumn("digest", linededup._digest("norm")).withColumn("id", linededup.F.col("doc_id").cast("bigint"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        known = linededup._signatures(lines.select("digest", "id", "norm")).select("digest", "id", "copies", linededup._seen().alias("seen"), "bands")
+        for df in (known, linededup.members(spark.createDataFrame([], "node bigint, seen bigint, bands array<bigint>"))):
+            code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+            assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", code)), code[:200]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_agreement_of_minima_loses_next_to_nothing():
     """Of the pairs at a similarity of exactly 0.8 that share a band, nearly all share enough minima; of pairs at 0.1, very few do."""
     masks, rng = np.array(linededup._MASKS, np.int64).astype(np.int32), np.random.default_rng(2)
