@@ -271,13 +271,15 @@ def metadata_applied_through(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def segment_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Four segments by revision, with what the manifest holds of each."""
+    """Four commits by revision, with what the manifest holds of the segments of each."""
     log = events_log(spark, sf)
     part = top_revision(log) // 4 + 1
     with Store.open(spark, _folder(spark)) as store:
         for i in range(4):
             store.apply(log.where(F.expr(f"(revision - 1) div {part} = {i}")))
         rows = store.segments()
+    ends = (F.min("low").alias("low"), F.max("high").alias("high"), F.min("min_revision").alias("min_revision"), F.max("max_revision").alias("max_revision"))
+    rows = rows.groupBy("commit").agg(F.sum("rows").alias("rows"), *ends)
     return rows.select("rows", F.decode("low", "UTF-8").alias("low"), F.decode("high", "UTF-8").alias("high"), "min_revision", "max_revision")
 
 

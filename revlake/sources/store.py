@@ -373,7 +373,7 @@ class Store:
                 raise InvalidRevisionError(f"nothing was written: {bad}")
             fresh = counts.get(validate.APPLY, 0)
             wanted = rows if judged is None else judged.where(F.col("cls") == validate.APPLY)
-            added = self._add(wanted, 0, 1 + fresh // 5_000_000, self.manifest.next_order) if fresh else ()
+            added = self._add(wanted, 0, -(-fresh // self.policy.target_rows), self.manifest.next_order) if fresh else ()
             old = self.manifest
             self._publish(
                 old.next(
@@ -533,7 +533,7 @@ class Store:
             for level in sorted({s.level for s in self.manifest.segments}):
                 own = [s for s in self.manifest.segments if s.level == level]
                 folder = f"level-{level}"
-                write_segment(read_segments(self.spark, self.root, own), target, folder, max(1, sum(s.size for s in own) // self.policy.target_size))
+                write_segment(read_segments(self.spark, self.root, own), target, folder, max(1, sum(s.size for s in own) // self.policy.target_size, -(-sum(s.rows for s in own) // self.policy.target_rows)))
                 made += measure(self.spark, target, folder, level, 0)
         self._files.publish(f"{target}/checkpoint.json", replace(self.manifest, segments=tuple(made)).to_json())
         self.counters["checkpoints"] += 1
@@ -622,8 +622,8 @@ class Store:
         return self.spark.createDataFrame([(m.version, m.applied_index, m.applied_through)], "version bigint, applied_index bigint, applied_through bigint")
 
     def segments(self) -> DataFrame:
-        fields = "path string, level int, rows bigint, size bigint, low binary, high binary, min_revision bigint, max_revision bigint, fingerprint string"
-        return self.spark.createDataFrame([(s.path, s.level, s.rows, s.size, s.low, s.high, s.min_revision, s.max_revision, s.fingerprint) for s in self.manifest.segments], fields)
+        fields = "path string, level int, rows bigint, size bigint, low binary, high binary, min_revision bigint, max_revision bigint, fingerprint string, commit bigint"
+        return self.spark.createDataFrame([(s.path, s.level, s.rows, s.size, s.low, s.high, s.min_revision, s.max_revision, s.fingerprint, s.order) for s in self.manifest.segments], fields)
 
     def stats(self) -> DataFrame:
         """One row of counters and sizes."""

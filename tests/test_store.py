@@ -340,3 +340,22 @@ def test_large_write_frames(spark, tmp_path):
         assert s.write_frame(rows) == 1 and s.scan("00010", "00020").count() == 10
         with pytest.raises(ValueError):
             s.write_frame(rows.union(rows))
+
+
+def test_no_task_writes_more_rows_than_the_target(spark, tmp_path):
+    """Commits, compactions and restores deal their rows out by number, and the statistics of a commit's files are those of the commit."""
+    log = spark.range(4000).selectExpr("CAST(lpad(id % 1000, 5, '0') AS BINARY) AS key", "id + 1 AS revision", "false AS deleted", "CAST(CAST(id AS STRING) AS BINARY) AS value")
+    with Store.open(spark, str(tmp_path / "s"), Policy(target_rows=500)) as store:
+        store.apply(log.where("revision <= 2000"))
+        store.checkpoint(str(tmp_path / "c"))
+        store.apply(log.where("revision > 2000"))
+        rows = store.segments().collect()
+        assert len(rows) > 6 and max(r["rows"] for r in rows) <= 1000
+        assert {c: sum(r["rows"] for r in rows if r.commit == c) for c in {r.commit for r in rows}} == {0: 2000, 1: 2000}
+        with store.read_view(2000) as view:
+            store.compact()
+            assert len(store.manifest.segments) > 6 and max(s.rows for s in store.manifest.segments) <= 1000
+            assert view.scan().count() == 1000
+        assert sorted((bytes(r.key), r.revision) for r in store.scan().collect()) == [(f"{k:05d}".encode(), 3001 + k) for k in range(1000)]
+        store.restore(str(tmp_path / "c"))
+        assert len(store.manifest.segments) > 2 and store.scan().count() == 1000

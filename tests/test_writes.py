@@ -65,6 +65,8 @@ def test_planner():
     last = [segment("p", 2, "a", "b", 900), segment("q", 2, "c", "d", 900)]
     assert compact.plan(last, policy, {2: b"a"})[0].inputs[0].path == "q" and compact.plan(last, policy)[0].drop_deletions
     assert compact.output_files(Task((segment("b", 1, "a", "b", 250),), 2, 1.0, False), policy) == 3
+    small = [Segment(f"s{i}", 0, 400_000, 1000, b"a", b"z", 1, 1) for i in range(4)]
+    assert compact.output_files(Task(tuple(small), 2, 1.0, False)) == 4  # few bytes, but more rows than one task should sort
 
 
 def commands(spark, *items):
